@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, urlrules
+from tracemill.llm import mixing, pii, urlrules
 
-_MODULES = (mixing, urlrules)
+_MODULES = (pii, mixing, urlrules)
 
 
 def queries() -> dict:
