@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, pii, urlrules
+from tracemill.llm import mixing, pieces, pii, toxicity, urlrules
 
-_MODULES = (pii, mixing, urlrules)
+_MODULES = (pii, toxicity, mixing, pieces, urlrules)
 
 
 def queries() -> dict:

@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's features are the character n-grams (3 to 5) of <word> and <word> itself, hashed into BUCKETS rows of an
-embedding table; its vector is the mean of their rows, a text's vector the mean of its words' vectors, and a
+A word's features are the character n-grams (3 to 5) of the word with its ends marked, and the whole, hashed into 2^BITS rows of an
+embedding table; its vector is the mean of their rows, a text's vector the mean of its distinct words' vectors (so repeating a word
+adds nothing), and a
 softmax over that gives the score. Embeddings and softmax are learnt together (Adagrad) from a bounded sample of
 labelled documents: at most SAMPLE of each class, those of the smallest hash. The sample and the model are the
 only things on the driver, both of fixed size. As all is linear up to the softmax, scoring needs one number per
-bucket, and one per distinct word, which a bounded table in each worker keeps.
+bucket (1 MB, broadcast with the function).
 
 Edge cases: null and empty texts score the prior of the sample (no words, only the bias); labels that are null or
 have no document are not used; without any usable label of both classes every text scores 0; repeated rows score
@@ -14,131 +15,151 @@ alike; an empty table gives no rows. Words are split at blanks and the controls
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 17
+from tracemill.llm.tokens import Words, column, mix, pieces, spans_hash
+
+#: The embedding table has 2^BITS rows.
+BITS = 17
 DIM = 8
 SHORTEST, LONGEST = 3, 5
-#: Labelled documents of each class that are used to learn, and the bytes of text they may have in all.
-SAMPLE, SAMPLE_BYTES = 2500, 24_000_000
-EPOCHS, RATE, BATCH = 12, 0.5, 64
+#: Labelled documents of class 0 and of class 1 that are used to learn, and the bytes of text they may have in all.
+SAMPLE, SAMPLE_BYTES = (3000, 1500), 24_000_000
+#: A text of fewer distinct words counts as filled up with neutral ones.
+PAD = 16
+EPOCHS, RATE, BATCH = 8, 0.15, 64
 THRESHOLD = 0.7
-#: Words that a worker remembers.
-REMEMBERED = 300_000
-
-
-def features(word: str) -> list[int]:
-    """Buckets of a word and its character n-grams."""
-    marked = f"<{word}>"
-    n = len(marked)
-    grams = {marked[i : i + k] for k in range(SHORTEST, LONGEST + 1) for i in range(n - k + 1)}
-    grams.add(marked)
-    return [zlib.crc32(g.encode()) % BUCKETS for g in sorted(grams)]
-
-
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (begin, bucket, weight) whose product with the table is the texts' vectors."""
-    known: dict[str, np.ndarray] = {}
-    begin, index, weight = [0], [], []
-    for text in texts:
-        words = text.lower().encode().split()
-        total: np.ndarray | None = None
-        if words:
-            parts, shares = [], []
-            for word in words:
-                got = known.get(word)
-                if got is None:
-                    got = known[word] = np.array(features(word.decode()), np.int32)
-                parts.append(got)
-                shares.append(len(got))
-            flat = np.concatenate(parts)
-            each = np.repeat(1.0 / np.array(shares), shares) / len(words)
-            bucket, inverse = np.unique(flat, return_inverse=True)
-            total = np.bincount(inverse, weights=each)
-            index.append(bucket)
-            weight.append(total)
-        begin.append(begin[-1] + (0 if total is None else len(total)))
-    empty = np.zeros(0)
-    return np.array(begin), np.concatenate(index or [empty.astype(int)]), np.concatenate(weight or [empty])
+
+
+def subwords(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, bucket) of all n-grams, and the whole, of the chosen words; owner counts along chosen."""
+    lens = words.ends[chosen] - words.starts[chosen]
+    # The words, each between line ends: no word has one.
+    stops = np.cumsum(lens + 1)
+    buf = np.full(int(stops[-1]) + 1 if len(stops) else 1, 10, np.uint8)
+    place = np.arange(lens.sum()) + np.repeat(np.arange(1, len(lens) + 1), lens)
+    take = np.arange(lens.sum()) + np.repeat(words.starts[chosen] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) if len(lens) else np.zeros(0, int)
+    buf[place] = words.bytes[take]
+    chars = np.frombuffer(buf.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+    mark = chars == 10
+    passed = np.cumsum(mark)
+    values = mix(chars.astype(np.uint64) + np.uint64(1))
+    ends_at = np.flatnonzero(mark)
+    owner, bucket = [np.arange(len(lens))], [spans_hash(values, ends_at[:-1], ends_at[1:] + 1)]
+    for k in range(SHORTEST, LONGEST + 1):
+        at = np.arange(max(0, len(chars) - k + 1))
+        at = at[passed[at + k - 2] == passed[at]]  # no mark but at its ends
+        owner.append(passed[at] - 1)
+        bucket.append(spans_hash(values, at, at + k))
+    return np.concatenate(owner), (np.concatenate(bucket) >> np.uint64(64 - BITS)).astype(np.int32)
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the piece's distinct words, and (text, number of the word) of each text's distinct words."""
+    found, first, number = np.unique(words.hash, return_index=True, return_inverse=True)
+    pairs = np.unique(words.texts() * max(1, len(found)) + number)
+    return first, pairs // max(1, len(found)), pairs % max(1, len(found))
+
+
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text (begin, word), n-grams of each word (begin, bucket)."""
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    begin, word, gram_begin, gram, so_far, end = [0], [], [np.zeros(1, np.int64)], [], 0, 0
+    for a, b in pieces(offsets):
+        words = Words(buf, offsets[a : b + 1])
+        first, text, number = distinct(words)
+        owner, bucket = subwords(words, first)
+        order = np.argsort(owner, kind="stable")
+        gram.append(bucket[order])
+        gram_begin.append(end + np.cumsum(np.bincount(owner, minlength=len(first))))
+        end += len(owner)
+        word.append((number + so_far).astype(np.int32))
+        so_far += len(first)
+        begin.extend(begin[-1] + np.cumsum(np.bincount(text, minlength=b - a)))
+    return np.array(begin), np.concatenate([*word, np.zeros(0, np.int32)]), np.concatenate(gram_begin), np.concatenate([*gram, np.zeros(0, np.int32)])
+
+
+def _ranges(begin: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions begin[r]:begin[r + 1] of the rows one after another, and how many each has."""
+    lens = begin[rows + 1] - begin[rows]
+    return np.repeat(begin[rows] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum()), lens
 
 
 def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
-    """(contribution per bucket, bias): the score of a text is the sigmoid of their weighted mean plus bias."""
+    """(contribution per bucket, bias): a text's score is the sigmoid of its words' mean contribution plus bias."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return np.zeros(BUCKETS), -1e3
+        return np.zeros(1 << BITS), -1e3
     rng = np.random.default_rng(seed)
-    begin, index, weight = _bags(texts)
-    table = rng.normal(0, 1.0 / DIM, (BUCKETS, DIM))
+    begin, word, gram_begin, gram = _bags(texts)
+    table = rng.normal(0, 1.0 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 1.0 / DIM, DIM), 0.0
-    seen_table, seen_out, seen_bias = np.full((BUCKETS, DIM), 1e-6), np.full(DIM, 1e-6), 1e-6
-    balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    seen_table, seen_out, seen_bias = np.full((1 << BITS, DIM), 1e-6, np.float32), np.full(DIM, 1e-6), 1e-6
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            lens = begin[rows + 1] - begin[rows]
-            take = np.repeat(begin[rows] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-            bucket, share, owner = index[take], weight[take], np.repeat(np.arange(len(rows)), lens)
+            where, lens = _ranges(begin, rows)
+            text = np.repeat(np.arange(len(rows)), lens)
+            grams, sizes = _ranges(gram_begin, word[where])
+            bucket = gram[grams]
+            # Weight of an n-gram in its text: 1 / (n-grams of its word) / (words of its text).
+            share = np.repeat(1.0 / sizes / np.maximum(lens, PAD)[text], sizes)
+            owner = np.repeat(text, sizes)
             part = table[bucket] * share[:, None]
             vector = np.stack([np.bincount(owner, part[:, d], len(rows)) for d in range(DIM)], 1)
             # Means over hundreds of words are small; the scale is part of the softmax layer.
             logit = SCALE * vector @ out + bias
-            slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[rows]) * balance[rows] / len(rows)
+            slope = (1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y[rows]) / len(rows)
             g_out, g_bias = SCALE * vector.T @ slope, slope.sum()
-            used, inverse = np.unique(bucket, return_inverse=True)
-            g_used = np.outer(np.bincount(inverse, share * slope[owner], len(used)), SCALE * out)
+            force = np.bincount(bucket, share * slope[owner], 1 << BITS)
+            used = np.flatnonzero(force)
+            g_used = np.outer(force[used], SCALE * out)
             seen_table[used] += g_used**2
-            table[used] -= RATE / 4 * g_used / np.sqrt(seen_table[used])
+            table[used] -= RATE * g_used / np.sqrt(seen_table[used])
             seen_out += g_out**2
-            out = out - RATE / 4 * g_out / np.sqrt(seen_out)
+            out = out - RATE * g_out / np.sqrt(seen_out)
             seen_bias += g_bias**2
             bias -= RATE * g_bias / np.sqrt(seen_bias)
-    return SCALE * table @ out, float(bias)
+    return (SCALE * table @ out).astype(np.float64), float(bias)
 
 
 SCALE = 50.0
 
 
-class _Known(dict):
-    """Contribution of each word, computed when first asked for."""
-
-    def __init__(self, buckets: np.ndarray):
-        self.buckets = buckets
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        got = self[word] = float(self.buckets[features(word.decode(errors="replace"))].mean())
-        return got
+def scores_of(buf: np.ndarray, offsets: np.ndarray, contributions: np.ndarray, bias: float) -> np.ndarray:
+    out = [np.zeros(0)]
+    for a, b in pieces(offsets):
+        words = Words(buf, offsets[a : b + 1])
+        first, text, number = distinct(words)
+        owner, bucket = subwords(words, first)
+        each = np.bincount(owner, contributions[bucket], len(first)) / np.maximum(np.bincount(owner, minlength=len(first)), 1)
+        count = np.bincount(text, minlength=b - a)
+        logit = bias + np.bincount(text, each[number], b - a) / np.maximum(count, PAD)
+        out.append(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
+    return np.concatenate(out)
 
 
-def scorer(buckets: np.ndarray, bias: float):
+def scorer(contributions: np.ndarray, bias: float):
     def run(batches):
-        known = _Known(buckets)
         for batch in batches:
-            scores = []
-            for text in batch.column("text"):
-                words = (text.as_py() or "").lower().encode().split()
-                logit = bias + (sum(map(known.__getitem__, words)) / len(words) if words else 0.0)
-                scores.append(1 / (1 + float(np.exp(-np.clip(logit, -40, 40)))))
-            kept = [i for i, name in enumerate(batch.schema.names) if name != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(scores, pa.float64())], names=[*[batch.schema.names[i] for i in kept], "score"])
+            scores = scores_of(*column(batch.column(batch.num_columns - 1)), contributions, bias)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
 
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: tuple[int, int] = SAMPLE) -> tuple[np.ndarray, float]:
     """Fits the model to labelled rows; the caller has taken held-out rows from labels."""
     marked = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("l_key")).agg(F.max(label).alias("l_label"))
     mine = marked.select("l_key", "l_label", F.xxhash64("l_key").alias("l_order"))
     # limit() keeps a class within its bound; ordering by a hash makes that a fixed draw.
-    chosen = mine.filter("l_label = 1").orderBy("l_order", "l_key").limit(sample).unionByName(mine.filter("l_label = 0").orderBy("l_order", "l_key").limit(sample))
+    chosen = mine.filter("l_label = 1").orderBy("l_order", "l_key").limit(sample[1]).unionByName(mine.filter("l_label = 0").orderBy("l_order", "l_key").limit(sample[0]))
     rows = docs.select(F.col(key).alias("d_key"), F.coalesce(F.col(text), F.lit("")).alias("d_text")).join(F.broadcast(chosen), F.col("d_key") == F.col("l_key"))
     got, size = [], 0
     for row in sorted(rows.select("l_order", "d_key", "d_text", "l_label").collect()):
@@ -150,7 +171,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *columns: str, text: str = "text") -> DataFrame:
     """The named columns of docs, and score."""
-    fed = docs.select(*columns, F.col(text).alias("text"))
+    fed = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("scored_text"))
     kept = docs.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
     return fed.mapInArrow(scorer(*model), schema)
