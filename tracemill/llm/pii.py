@@ -106,14 +106,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contexts(docs: DataFrame, base: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
+def contexts(base: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
     """(id, tie, entity, holders, term, start, end): words near a value that at least `support` documents hold."""
     mentions = base.select("id", "tie", F.explode("spans").alias("s")).select("id", "tie", "s.*")
     holders = mentions.select("id", "tie", "entity").distinct().groupBy("entity").agg(F.count("*").alias("holders")).filter(F.col("holders") >= support)
     mentions = mentions.join(holders, "entity", "left")
     private = mentions.filter("holders is not null").select("id", "tie").distinct()
     key = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))
-    texts = docs.dropDuplicates(["id", "tie"]).join(private.select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie")), key, "left_semi")
+    texts = base.filter("text is not null").dropDuplicates(["id", "tie"]).join(private.select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie")), key, "left_semi")
     parts = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
     words = texts.select("id", "tie", F.posexplode(parts).alias("i", "p")).filter("p.word is not null")
     line = Window.partitionBy("id", "tie").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -153,8 +153,10 @@ def disclosing(docs: DataFrame, seen: DataFrame, support: int = SUPPORT) -> Data
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
     """(key, tie, base, terms): base spans, and spans of disclosing terms, of each row."""
     docs = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = materialise(docs.select("id", "tie", base_spans(F.col("text")).alias("spans")), "base")
-    seen = materialise(contexts(docs, base, window, support), "contexts")
+    # Only texts with spans go along: the rest is read once and never shuffled.
+    base = docs.select("id", "tie", base_spans(F.col("text")).alias("spans"), "text")
+    base = materialise(base.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "base")
+    seen = materialise(contexts(base, window, support), "contexts")
     pairs = materialise(disclosing(docs, seen, support), "disclosing")
     hit = seen.join(_small(pairs, pairs.count()), ["entity", "term"])
     term = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.when(F.col("gone"), "gone").otherwise("term").alias("kind"), "end", F.lit(None).cast("string").alias("entity"))

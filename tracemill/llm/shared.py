@@ -25,6 +25,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files of what is now written go when the driver's garbage is collected.
+    spark._jvm.System.gc()
     back = spark.read.schema(df.schema).parquet(path)
     back._tracemill_path = path
     return back
