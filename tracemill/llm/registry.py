@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, pieces, pii, toxicity, urlrules
+from tracemill.llm import mixing, pieces, pii, substrings, toxicity, urlrules
 
-_MODULES = (pii, toxicity, mixing, pieces, urlrules)
+_MODULES = (pii, toxicity, substrings, mixing, pieces, urlrules)
 
 
 def queries() -> dict:
