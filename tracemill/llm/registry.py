@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from tracemill.llm import mixing, pieces, pii, substrings, toxicity, urlrules
+import functools
 
-_MODULES = (pii, toxicity, substrings, mixing, pieces, urlrules)
+from tracemill.llm import lm, mixing, pieces, pii, substrings, toxicity, urlrules
+from tracemill.session import ship
+
+_MODULES = (pii, toxicity, substrings, mixing, pieces, urlrules, lm)
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+    return {name: _shipped(query) for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
