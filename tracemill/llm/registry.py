@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from tracemill.llm import lm, mixing, pieces, pii, substrings, toxicity, urlrules
+from tracemill.llm import jaccard, lm, mixing, pieces, pii, substrings, toxicity, urlrules
 from tracemill.session import ship
 
-_MODULES = (pii, toxicity, substrings, mixing, pieces, urlrules, lm)
+_MODULES = (pii, toxicity, substrings, mixing, jaccard, pieces, urlrules, lm)
 
 
 def _shipped(query):
