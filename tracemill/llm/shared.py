@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space that separates words, everywhere in this package: blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (tests), a folder of its own is set."""
@@ -24,9 +26,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tracemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files of what is now written go when the driver's garbage is collected.
-    spark._jvm.System.gc()
+    # What is now written needs its shuffle files no more: Spark deletes them when the write ends.
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._tracemill_path = path
     return back

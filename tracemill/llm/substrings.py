@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import materialise
+from tracemill.llm.shared import materialise, release
 from tracemill.llm.tokens import U, Words, column, mix, pieces, powers, rolled, spans_hash
 
 WINDOW = 50
@@ -196,11 +196,11 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """(key, n_words, n_removed, kept_sha256) of each row."""
     spark = docs.sparkSession
     raw = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    survey = materialise(
-        raw.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_survey(window), "id long, tie long, n_words long, digest string, total long, open boolean, names array<long>"), "survey"
-    ).withColumn("rank", F.coalesce("id", F.lit(NO_ID)))
+    surveyed = raw.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_survey(window), "id long, tie long, n_words long, digest string, total long, open boolean, names array<long>")
+    survey = materialise(surveyed.withColumn("rank", F.coalesce("id", F.lit(NO_ID))), "survey")
     firsts = survey.filter(F.col("n_words") >= window).groupBy("total", "digest").agg(F.min("rank").alias("first"))
     marked = materialise(survey.join(firsts, ["total", "digest"], "left").withColumn("copy", F.coalesce(F.col("rank") > F.col("first"), F.lit(False))), "marked")
+    release(survey)
     live = marked.filter(F.col("first").isNotNull() & ~F.col("copy"))
     held = live.select("rank", F.explode("names").alias("name"))
     shared = held.groupBy("name").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("name")
