@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import functools
 
-from tracemill.llm import jaccard, lm, mixing, pieces, pii, substrings, toxicity, urlrules, vectors
+from tracemill.llm import ann, jaccard, lm, mixing, pieces, pii, substrings, toxicity, urlrules, vectors
 from tracemill.session import ship
 
-_MODULES = (pii, toxicity, substrings, vectors, mixing, jaccard, pieces, urlrules, lm)
+_MODULES = (pii, toxicity, substrings, vectors, mixing, jaccard, pieces, urlrules, lm, ann)
 
 
 def _shipped(query):
