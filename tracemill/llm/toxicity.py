@@ -30,7 +30,8 @@ SHORTEST, LONGEST = 3, 5
 SAMPLE, SAMPLE_BYTES = (3000, 1500), 24_000_000
 #: A text of fewer distinct words counts as filled up with neutral ones.
 PAD = 16
-EPOCHS, RATE, BATCH = 8, 0.15, 64
+#: Passes over the sample; a small one gets at least STEPS batches in all.
+EPOCHS, STEPS, RATE, BATCH = 8, 300, 0.15, 64
 THRESHOLD = 0.7
 
 
@@ -100,7 +101,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarra
     table = rng.normal(0, 1.0 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 1.0 / DIM, DIM), 0.0
     seen_table, seen_out, seen_bias = np.full((1 << BITS, DIM), 1e-6, np.float32), np.full(DIM, 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, STEPS * BATCH // len(y))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
