@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.shared import materialise
 from tracemill.llm.tokens import U, Words, column, mix, pieces
 
-CHUNK = 8_000_000
+CHUNK = 3_000_000
 SHARD = 16_000_000
 BEGIN, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 WORDS, BIGRAMS = 0, 1
@@ -123,7 +123,7 @@ class Profile:
         self.pair_cut = np.searchsorted(pair_shard[self.pair_order], np.arange(shards + 1))
 
     def blobs(self, shards: int, chunk: int, counted: np.ndarray | None):
-        """A row for each kind and shard: keys, and with `counted` (whether each text counts) their counts."""
+        """A row for each kind and shard that has any: keys, and with `counted` (whether each text counts) their counts."""
         rows = []
         if counted is not None:
             token = counted[self.text]
@@ -132,10 +132,13 @@ class Profile:
             pairs = np.bincount(self.pair[token], minlength=len(self.left))
         for shard in range(shards):
             mine = self.word_order[self.word_cut[shard] : self.word_cut[shard + 1]]
-            rows.append((WORDS, shard, chunk, EliasFano.encode(self.keys[mine]), b"", b"", b"" if counted is None else squeezed(words[mine])))
+            if len(mine):
+                rows.append((WORDS, shard, chunk, EliasFano.encode(self.keys[mine]), b"", b"", b"" if counted is None else squeezed(words[mine])))
             mine = self.pair_order[self.pair_cut[shard] : self.pair_cut[shard + 1]]
+            if not len(mine):
+                continue
             left = self.left[mine]
-            first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else np.zeros(0, int)
+            first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
             pointers = np.concatenate([first, [len(left)]]).astype(U)
             rows.append((BIGRAMS, shard, chunk, EliasFano.encode(left[first]), EliasFano.encode(pointers), _successors(self.right[mine]), b"" if counted is None else squeezed(pairs[mine])))
         return table(rows)
@@ -296,7 +299,7 @@ def _scored(shards: int, n: int, v: int):
             return pa.table([pa.array([], t) for t in (docs.schema.field("id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["id", "n_tokens", "n_known", "base_score", "score"])
         profile = Profile(*column(docs["text"].chunk(0)), shards)
         got = {(r["kind"], r["shard"]): r for r in answers.to_pylist()}
-        order = lambda kind: [got[kind, s] for s in range(shards)]
+        order = lambda kind: [got[kind, s] for s in range(shards) if (kind, s) in got]
         count, weight, below = np.zeros(len(profile.keys)), np.zeros(len(profile.keys)), np.zeros(len(profile.keys))
         words = order(WORDS)
         count[profile.word_order] = np.concatenate([unsqueezed(r["a"]) for r in words])
