@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,20 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         _ORACLES[name] = oracle
 
 
+#: Modules that register queries when imported.
+_MODULES = ("trajectory_queries",)
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"tracemill.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _ORACLES
