@@ -16,21 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import jaccard, mixing, pieces, pii, toxicity
-from tracemill.llm.shared import materialise
-from tracemill.session import ship
+from tracemill.llm.shared import materialise, prepare
 
 SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
     model = toxicity.learn(docs, labels)
     return toxicity.score(docs, model, *docs.columns).filter(F.col("score") < toxicity.THRESHOLD).drop("score")
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return jaccard.keep_one(docs, width=SHINGLE, num=NUM, den=DEN)
 
 
@@ -43,7 +42,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return pieces.digests(docs, "doc_id", "lang", "source")
 
 

@@ -43,7 +43,7 @@ from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_ha
 WIDTH, NUM, DEN = 4, 85, 100
 SUBSETS = 200
 #: Bytes of text for each shard of the signatures, and of each piece that packs its own.
-SHARD, CHUNK = 16_000_000, 6_000_000
+SHARD, CHUNK = 8_000_000, 3_000_000
 BASE = 0xA0761D6478BD642F
 
 

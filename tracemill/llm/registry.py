@@ -5,22 +5,22 @@ from __future__ import annotations
 import functools
 
 from tracemill.llm import ann, jaccard, lm, mixing, pieces, pii, substrings, toxicity, urlrules, vectors
-from tracemill.session import ship
+from tracemill.llm.shared import prepare
 
 _MODULES = (pii, toxicity, substrings, vectors, mixing, jaccard, pieces, urlrules, lm, ann)
 
 
-def _shipped(query):
+def _prepared(query):
     @functools.wraps(query)
     def run(spark, sf_dir):
-        ship(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run
 
 
 def queries() -> dict:
-    return {name: _shipped(query) for module in _MODULES for name, query in module.QUERIES.items()}
+    return {name: _prepared(query) for module in _MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

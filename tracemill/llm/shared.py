@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill.session import ship
+
 #: White space that separates words, everywhere in this package: blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Sends the package, and bounds the Arrow batches, so that a worker holds a few MB of texts at a time."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts lineage, and outlives executors."""
     spark = df.sparkSession
