@@ -53,7 +53,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rid, arrival, queued, first, last, n): seconds of the events of a request, and its tokens."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    at = F.unix_micros("ts") / F.lit(1e6)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("rid"), at.alias("at"), F.row_number().over(order).alias("rn"))
     pick = lambda n: F.min(F.when(F.col("rn") == n, F.col("at")))
     return rows.groupBy("rid").agg(pick(1).alias("arrival"), pick(2).alias("queued"), pick(3).alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
