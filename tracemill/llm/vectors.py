@@ -15,8 +15,8 @@ no task holds more than twice LIMIT, whatever the shard. Then:
    scans instead, in rows of blocks.
 
 A pair that several tasks hold is counted by the first of them; tasks return per node the links it has, and a
-spanning forest of them, never all pairs. Links between nodes that no shard has in common would be lost; up to
-OVERLAP shards a label the search is complete, and beyond that the tests measure its recall.
+spanning forest of them, never all pairs. Links between nodes that no shard has in common would be lost; up to three
+shards a label any two nodes share one and the search is complete, and beyond that the tests measure its recall.
 
 Edge cases: a null label, a null, empty or zero vector, and one with null or non-finite components, link with
 nothing; repeated rows of one id count as separate vectors; an empty table gives no rows.
@@ -33,11 +33,12 @@ from tracemill.llm.components import components
 from tracemill.llm.shared import materialise
 
 THRESHOLD = 0.98
-LIMIT = 2000
-OVERLAP = 3
+#: Rows that a shard should have, rows of a block, shards of a node.
+SHARD, LIMIT = 2500, 4000
+OVERLAP = 2
 #: Centroids in all; they are sent with the function.
 CENTROIDS = 20_000
-DEGREE, NEAREST, ALPHA, SLACK, AUDIT = 16, 32, 1.2, 0.03, 48
+DEGREE, NEAREST, ALPHA, SLACK, AUDIT = 16, 24, 1.2, 0.03, 48
 
 
 def usable(vector: Column) -> Column:
@@ -64,7 +65,7 @@ def prune(x: np.ndarray, near: np.ndarray, similarity: np.ndarray) -> list[np.nd
     distance = np.sqrt(np.maximum(0, 2 - 2 * similarity))
     alive = np.ones((n, width), bool)
     kept = np.zeros((n, width), bool)
-    between = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("nid,njd->nij", x[near], x[near])))
+    between = np.sqrt(np.maximum(0, 2 - 2 * x[near] @ x[near].transpose(0, 2, 1)))
     for i in range(width):
         take = alive[:, i] & (kept.sum(1) < DEGREE)
         kept[:, i] = take
@@ -215,7 +216,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     )
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count("*").alias("times"), F.min("id").alias("least")), "nodes")
     counts = {r["group"]: r["count"] for r in nodes.groupBy("group").count().collect()}
-    per = max(LIMIT, sum(counts.values()) // CENTROIDS + 1)
+    per = max(SHARD, sum(counts.values()) // CENTROIDS + 1)
     wanted = nodes.sparkSession.createDataFrame([(g, -(-c // per)) for g, c in counts.items()] or [("", 0)], "g string, k long")
     # Hash order: the first k of each label, by a threshold rather than by sorting a label in one task.
     share = F.col("k") / F.col("total")
