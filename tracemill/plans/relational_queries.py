@@ -60,8 +60,11 @@ register("SET-4", lambda s, d: R.pad_to_divisor(R.numbered(region(s, d), "r_regi
 register("SET-5", lambda s, d: tokens(s, d).groupBy("seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("reward").cast("decimal(4,2)").cast("string").alias("r")))), lambda x: x["r"]), "|").alias("rewards")), sql("SELECT seq, string_agg(reward::DECIMAL(4,2)::VARCHAR, '|' ORDER BY pos) AS rewards FROM tokens GROUP BY seq"))
 register("SET-6", lambda s, d: responses(s, d).filter("rid <= 3").groupBy("rid").agg(F.count("*").alias("rows"), F.min("uid").alias("first_uid"), F.max("uid").alias("last_uid")), sql("SELECT rid, count(*) AS rows, min(uid) AS first_uid, max(uid) AS last_uid FROM responses WHERE rid <= 3 GROUP BY rid"))
 register("SET-7", lambda s, d: supplier(s, d).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(F.concat_ws("_", "s_suppkey", "j").alias("_id"), "s_name"), "SELECT s_suppkey || '_' || j AS _id, s_name FROM supplier, range(4) r(j)")
-IDS = F.transform(F.split("p_name", " "), lambda w: F.length(w).cast("long"))
-register("SET-8", lambda s, d: part(s, d).select("p_partkey", F.array_join(R.padded(IDS, 4, 0), ",").alias("right_ids"), F.array_join(R.padded(IDS, 4, 0, left=True), ",").alias("left_ids")), "SELECT p_partkey, array_to_string((i || [0, 0, 0, 0])[1:4], ',') AS right_ids, array_to_string(list_reverse((list_reverse(i) || [0, 0, 0, 0])[1:4]), ',') AS left_ids FROM (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: length(w)) AS i FROM part)")
+def ids():
+    return F.transform(F.split("p_name", " "), lambda w: F.length(w).cast("long"))
+
+
+register("SET-8", lambda s, d: part(s, d).select("p_partkey", F.array_join(R.padded(ids(), 4, 0), ",").alias("right_ids"), F.array_join(R.padded(ids(), 4, 0, left=True), ",").alias("left_ids")), "SELECT p_partkey, array_to_string((i || [0, 0, 0, 0])[1:4], ',') AS right_ids, array_to_string(list_reverse((list_reverse(i) || [0, 0, 0, 0])[1:4]), ',') AS left_ids FROM (SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: length(w)) AS i FROM part)")
 register("SET-9", lambda s, d: tokens(s, d).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("pos", "mask"))).alias("t")).select("seq", F.array_join(F.transform(F.filter("t", lambda x: x["mask"]), lambda x: x["pos"]), ",").alias("kept")), sql("SELECT seq, coalesce(string_agg(pos, ',' ORDER BY pos) FILTER (mask), '') AS kept FROM tokens GROUP BY seq"))
 register("SET-10", lambda s, d: documents(s, d).select("lang", "source").distinct(), "SELECT DISTINCT lang, source FROM documents")
 # --- sorts and limits
@@ -107,20 +110,23 @@ B = A.buckets_1_2_5(1000)
 register("AGG-19", lambda s, d: A.histogram(table(s, d, "events"), "value", B).select("le", "n", "count"), f"SELECT b::DOUBLE AS le, (SELECT count(*) FROM events WHERE value <= b) AS n, (SELECT count(value) FROM events) AS count FROM (SELECT unnest({B}) AS b)")
 register("AGG-27", lambda s, d: A.histogram(table(s, d, "events"), "value", B, ["event_type"]).select("event_type", "le", "n", "count", r6("total", "total")), f"SELECT event_type, b::DOUBLE AS le, count(*) FILTER (value <= b) AS n, count(value) AS count, round(sum(value), 6) AS total FROM events, (SELECT unnest({B}) AS b) GROUP BY ALL")
 register("AGG-20", lambda s, d: requests(s, d).select("rid", *[r6(x, n) for n, x in {"e2e": F.col("last") - F.col("arrival"), "queue_time": F.col("queued") - F.col("arrival"), "prefill": F.col("first") - F.col("queued"), "decode": F.col("last") - F.col("first"), "inference": F.col("last") - F.col("queued")}.items()]), sql('SELECT rid, round("last" - arrival, 6) AS e2e, round(queued - arrival, 6) AS queue_time, round("first" - queued, 6) AS prefill, round("last" - "first", 6) AS decode, round("last" - queued, 6) AS inference FROM requests'))
-SLO = "({'t': \"first\" - arrival, 'p': CASE WHEN n > 1 THEN (\"last\" - \"first\") / (n - 1) ELSE 0 END})"
-TTFT, TPOT = F.col("first") - F.col("arrival"), F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / (F.col("n") - 1)).otherwise(0.0)
+
+
+def timings():
+    return {"ttft": F.col("first") - F.col("arrival"), "tpot": F.when(F.col("n") > 1, (F.col("last") - F.col("first")) / (F.col("n") - 1)).otherwise(0.0)}
+
+
 register(
     "AGG-16",
-    lambda s, d: requests(s, d).agg(*[f for n, x in {"ttft": TTFT, "tpot": TPOT}.items() for f in (F.round(F.avg(x), 4).alias(f"{n}_mean"), F.round(F.stddev_pop(x), 4).alias(f"{n}_std"), F.round(F.percentile(x, F.lit(0.5)), 4).alias(f"{n}_median"), F.round(F.percentile(x, F.lit(0.99)), 4).alias(f"{n}_p99"))]),
+    lambda s, d: requests(s, d).agg(*[f for n, x in timings().items() for f in (F.round(F.avg(x), 4).alias(f"{n}_mean"), F.round(F.stddev_pop(x), 4).alias(f"{n}_std"), F.round(F.percentile(x, F.lit(0.5)), 4).alias(f"{n}_median"), F.round(F.percentile(x, F.lit(0.99)), 4).alias(f"{n}_p99"))]),
     sql("+m AS (SELECT \"first\" - arrival AS ttft, CASE WHEN n > 1 THEN (\"last\" - \"first\") / (n - 1) ELSE 0 END AS tpot FROM requests) SELECT " + ", ".join(f"round(avg({n}), 4) AS {n}_mean, round(stddev_pop({n}), 4) AS {n}_std, round(quantile_cont({n}, 0.5), 4) AS {n}_median, round(quantile_cont({n}, 0.99), 4) AS {n}_p99" for n in ("ttft", "tpot")) + " FROM m"),
 )
 PCT = (10, 25, 50, 75, 90, 99)
 register("AGG-17", lambda s, d: table(s, d, "events").agg(*[r6(F.percentile("value", F.lit(p / 100)), f"p{p}") for p in PCT]), "SELECT " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) + 0.0 AS p{p}" for p in PCT) + " FROM events")
-register("AGG-18", lambda s, d: requests(s, d).agg(F.sum(((TTFT <= 100000.0) & (TPOT <= 40000.0)).cast("long")).alias("good")), sql("SELECT count(*) FILTER (\"first\" - arrival <= 100000.0 AND CASE WHEN n > 1 THEN (\"last\" - \"first\") / (n - 1) ELSE 0 END <= 40000.0) AS good FROM requests"))
-ACC = F.col("len") % 5
+register("AGG-18", lambda s, d: requests(s, d).agg(F.sum(((timings()["ttft"] <= 100000.0) & (timings()["tpot"] <= 40000.0)).cast("long")).alias("good")), sql("SELECT count(*) FILTER (\"first\" - arrival <= 100000.0 AND CASE WHEN n > 1 THEN (\"last\" - \"first\") / (n - 1) ELSE 0 END <= 40000.0) AS good FROM requests"))
 register(
     "AGG-21",
-    lambda s, d: responses(s, d).agg(r6(F.sum(ACC) / F.sum(F.lit(4)), "acceptance_rate"), r6(1 + F.sum(ACC) / F.count("*"), "mean_length"), *[r6(F.avg((ACC >= i).cast("double")), f"at{i}") for i in (1, 2, 3, 4)]),
+    lambda s, d: responses(s, d).agg(r6(F.sum(F.col("len") % 5) / F.sum(F.lit(4)), "acceptance_rate"), r6(1 + F.sum(F.col("len") % 5) / F.count("*"), "mean_length"), *[r6(F.avg((F.col("len") % 5 >= i).cast("double")), f"at{i}") for i in (1, 2, 3, 4)]),
     sql("SELECT round(sum(len % 5) / sum(4), 6) AS acceptance_rate, round(1 + sum(len % 5) / count(*), 6) AS mean_length, " + ", ".join(f"round(avg((len % 5 >= {i})::INT), 6) AS at{i}" for i in (1, 2, 3, 4)) + " FROM responses"),
 )
 register("AGG-22", lambda s, d: A.sliding_hit_rate(probes(s, d).withColumn("one", F.lit(1)).withColumn("h", F.col("hit").cast("int")), ["step"], "one", "h", 10, "qid").select("qid", "step", r6("hit_rate", "hit_rate")), sql("SELECT qid, step, round(avg(hit::INT) OVER (PARTITION BY qid ORDER BY step ROWS 9 PRECEDING), 6) AS hit_rate FROM probes"))
