@@ -26,3 +26,12 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.join("tracemill", os.path.relpath(full, root)))
     context.addPyFile(path)
     _sent.add(context.applicationId)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/") + "/tracemill"
