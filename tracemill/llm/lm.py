@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.shared import materialise
 from tracemill.llm.tokens import U, Words, column, mix, pieces
 
-CHUNK = 3_000_000
+CHUNK = 5_000_000
 SHARD = 16_000_000
 BEGIN, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 WORDS, BIGRAMS = 0, 1
@@ -111,7 +111,7 @@ class Profile:
         self.context = np.where(before == BEGIN, begin, np.concatenate([[begin], self.word[:-1]]))
         pairs, self.pair = np.unique(self.context * len(known) + self.word, return_inverse=True)
         left, right = pairs // len(known), pairs % len(known)
-        parts = U(max(1, -(-shards // 16)))
+        parts = U(max(1, -(-shards // 32)))
         self.keys = known
         self.left, self.right = known[left], known[right] >> U(24)
         self.word_shard = (mix(known) % U(shards)).astype(np.int64)
@@ -273,7 +273,7 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
             at = np.minimum(np.searchsorted(keys, sought), max(0, len(keys) - 1))
             hit = keys[at] == sought if len(keys) else np.zeros(len(sought), bool)
             take = lambda v: np.where(hit, v[at], 0) if len(keys) else np.zeros(len(sought), v.dtype)
-            out.append((WORDS, r["shard"], r["chunk"], squeezed(take(counts)), take(weight).astype("<u2").tobytes(), take(below).astype("<u2").tobytes(), b""))
+            out.append((WORDS, r["shard"], r["chunk"], squeezed(take(counts)), zlib.compress(take(weight).astype("<u2").tobytes(), 1), zlib.compress(take(below).astype("<u2").tobytes(), 1), b""))
         return table(out)
     contexts = EliasFano.decode(shard["a"]) if shard else np.zeros(0, U)
     pointers = EliasFano.decode(shard["b"]).astype(np.int64) if shard else np.zeros(1, np.int64)
@@ -303,8 +303,8 @@ def _scored(shards: int, n: int, v: int):
         count, weight, below = np.zeros(len(profile.keys)), np.zeros(len(profile.keys)), np.zeros(len(profile.keys))
         words = order(WORDS)
         count[profile.word_order] = np.concatenate([unsqueezed(r["a"]) for r in words])
-        weight[profile.word_order] = np.concatenate([np.frombuffer(r["b"], "<u2") for r in words]) / 65535
-        below[profile.word_order] = 2.0 ** (np.concatenate([np.frombuffer(r["c"], "<u2") for r in words]) / 1024)
+        weight[profile.word_order] = np.concatenate([np.frombuffer(zlib.decompress(r["b"]), "<u2") for r in words]) / 65535
+        below[profile.word_order] = 2.0 ** (np.concatenate([np.frombuffer(zlib.decompress(r["c"]), "<u2") for r in words]) / 1024)
         both = np.zeros(len(profile.left))
         both[profile.pair_order] = count_of(np.concatenate([np.frombuffer(zlib.decompress(r["a"]), np.uint8) for r in order(BIGRAMS)]))
         single = ((count + 1) / (n + 1 * (v + 1)))[profile.word]
