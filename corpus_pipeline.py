@@ -25,7 +25,8 @@ def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~toxicity.held_out())
     model = toxicity.learn(docs, labels)
-    return toxicity.score(docs, model, *docs.columns).filter(F.col("score") < toxicity.THRESHOLD).drop("score")
+    scored = toxicity.score(docs, model, *docs.columns, out="_tm_score")
+    return scored.filter(F.col("_tm_score") < toxicity.THRESHOLD).drop("_tm_score")
 
 
 def stage_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,12 +281,12 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without those that another of their component stands for: the smallest key's first row stays."""
-    found = clusters(docs, key, text, **how).select(F.col(key).alias("c_key"), F.col("component").alias("c_component"), F.col("n_shingles").alias("c_size")).dropDuplicates(["c_key"])
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("c_key")))
+    found = clusters(docs, key, text, **how).select(F.col(key).alias("_tm_key"), F.col("component").alias("_tm_component"), F.col("n_shingles").alias("_tm_size")).dropDuplicates(["_tm_key"])
+    joined = docs.join(found, F.col(key).eqNullSafe(F.col("_tm_key")))
     twin = Window.partitionBy(F.col(key), F.xxhash64(text)).orderBy(F.lit(0))
-    alone = F.col("c_size") == 0
-    kept = joined.filter(alone | F.col(key).eqNullSafe(F.col("c_component"))).withColumn("c_row", F.row_number().over(twin))
-    return kept.filter((F.col("c_row") == 1) | alone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = F.col("_tm_size") == 0
+    kept = joined.filter(alone | F.col(key).eqNullSafe(F.col("_tm_component"))).withColumn("_tm_row", F.row_number().over(twin))
+    return kept.filter((F.col("_tm_row") == 1) | alone).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

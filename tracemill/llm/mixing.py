@@ -84,13 +84,13 @@ def mix(docs: DataFrame, key: str = "doc_id", seed: str = SEED, **ratio) -> Data
     Rows that agree in key, source and text are interchangeable, so their copies are summed and dealt to them
     in turn.
     """
-    planned = plan(docs, key, seed, **ratio).select(F.col("key").alias("p_key"), F.col("tie").alias("p_tie"), F.col("source").alias("p_source"), F.col("copies").alias("p_copies"))
-    counts = planned.groupBy("p_key", "p_tie", "p_source").agg(F.collect_list("p_copies").alias("p_copies"))
+    planned = plan(docs, key, seed, **ratio).select(F.col("key").alias("_tm_key"), F.col("tie").alias("_tm_tie"), F.col("source").alias("_tm_source"), F.col("copies").alias("_tm_copies"))
+    counts = planned.groupBy("_tm_key", "_tm_tie", "_tm_source").agg(F.collect_list("_tm_copies").alias("_tm_copies"))
     twin = Window.partitionBy(F.col(key), F.xxhash64("text"), F.col("source")).orderBy(F.lit(0))
-    numbered = docs.withColumn("p_row", F.row_number().over(twin))
-    same = F.col(key).eqNullSafe(F.col("p_key")) & (F.xxhash64("text") == F.col("p_tie")) & F.col("source").eqNullSafe(F.col("p_source"))
-    joined = numbered.join(counts, same).withColumn("p_times", F.element_at("p_copies", F.col("p_row")).cast("int"))
-    return joined.filter("p_times > 0").withColumn("p_each", F.explode(F.sequence(F.lit(1), F.col("p_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    numbered = docs.withColumn("_tm_row", F.row_number().over(twin))
+    same = F.col(key).eqNullSafe(F.col("_tm_key")) & (F.xxhash64("text") == F.col("_tm_tie")) & F.col("source").eqNullSafe(F.col("_tm_source"))
+    joined = numbered.join(counts, same).withColumn("_tm_times", F.element_at("_tm_copies", F.col("_tm_row")).cast("int"))
+    return joined.filter("_tm_times > 0").withColumn("_tm_each", F.explode(F.sequence(F.lit(1), F.col("_tm_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,10 +189,10 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with the text sanitised; columns, rows and nulls stay."""
     found = find(docs, key, text, **how)
-    found = found.filter(F.size("base") > 0).groupBy(F.col(key).alias("f_key"), F.col("tie").alias("f_tie")).agg(F.first(F.sort_array(F.concat("base", "terms"))).alias("f_spans"))
-    same = F.col(key).eqNullSafe(F.col("f_key")) & (F.xxhash64(text) == F.col("f_tie"))
+    found = found.filter(F.size("base") > 0).groupBy(F.col(key).alias("_tm_key"), F.col("tie").alias("_tm_tie")).agg(F.first(F.sort_array(F.concat("base", "terms"))).alias("_tm_spans"))
+    same = F.col(key).eqNullSafe(F.col("_tm_key")) & (F.xxhash64(text) == F.col("_tm_tie"))
     joined = docs.join(found, same, "left")
-    clean = F.when(F.col("f_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("f_spans")))
+    clean = F.when(F.col("_tm_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_tm_spans")))
     return joined.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 

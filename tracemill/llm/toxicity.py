@@ -146,11 +146,11 @@ def scores_of(buf: np.ndarray, offsets: np.ndarray, contributions: np.ndarray, b
     return np.concatenate(out)
 
 
-def scorer(contributions: np.ndarray, bias: float):
+def scorer(contributions: np.ndarray, bias: float, out: str):
     def run(batches):
         for batch in batches:
             scores = scores_of(*column(batch.column(batch.num_columns - 1)), contributions, bias)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], out])
 
     return run
 
@@ -170,12 +170,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return train([r.d_text for r in got], [r.l_label for r in got])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], *columns: str, text: str = "text") -> DataFrame:
-    """The named columns of docs, and score."""
-    fed = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("scored_text"))
+def score(docs: DataFrame, model: tuple[np.ndarray, float], *columns: str, text: str = "text", out: str = "score") -> DataFrame:
+    """The named columns of docs, and the score in column `out`."""
+    fed = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_tm_text"))
     kept = docs.select(*columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
-    return fed.mapInArrow(scorer(*model), schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{out}` double"
+    return fed.mapInArrow(scorer(*model, out), schema)
 
 
 def held_out(key: str = "doc_id"):

@@ -48,27 +48,27 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     rules = rules.groupBy("r_host", "r_path", "r_digest").agg(F.max("r_verdict").alias("r_verdict")).withColumn("r_short", F.substring("r_digest", 1, SHORT))
     # At most one number per possible path length, gathered by a global aggregate that one row leaves.
     lengths = rules.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"))
-    seen = pages.select(host_of(F.col(url)).alias("u_host"), path_of(F.col(url)).alias("u_path")).distinct()
-    labels = F.split("u_host", r"\.", -1)
-    suffixes = F.when(F.col("u_host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    fitting = F.filter("lengths", lambda n: n <= F.length("u_path"))
-    prefixes = F.transform(fitting, lambda n: F.substring(F.col("u_path"), F.lit(1), n))
+    seen = pages.select(host_of(F.col(url)).alias("_tm_host"), path_of(F.col(url)).alias("_tm_path")).distinct()
+    labels = F.split("_tm_host", r"\.", -1)
+    suffixes = F.when(F.col("_tm_host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    fitting = F.filter("lengths", lambda n: n <= F.length("_tm_path"))
+    prefixes = F.transform(fitting, lambda n: F.substring(F.col("_tm_path"), F.lit(1), n))
     expressions = (
         seen.join(F.broadcast(lengths))  # one row
-        .select("u_host", "u_path", F.explode(suffixes).alias("e_host"), prefixes.alias("prefixes"))
-        .select("u_host", "u_path", "e_host", F.explode("prefixes").alias("e_path"))
+        .select("_tm_host", "_tm_path", F.explode(suffixes).alias("e_host"), prefixes.alias("prefixes"))
+        .select("_tm_host", "_tm_path", "e_host", F.explode("prefixes").alias("e_path"))
         .withColumn("e_digest", digest(F.col("e_host"), F.col("e_path")))
         .withColumn("e_short", F.substring("e_digest", 1, SHORT))
     )
     met = expressions.join(rules, F.col("e_short") == F.col("r_short")).filter("e_digest = r_digest")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), F.col("r_verdict"))
-    best = met.groupBy("u_host", "u_path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("best"))
+    best = met.groupBy("_tm_host", "_tm_path").agg(F.max_by(F.struct(F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict")), rank).alias("_tm_best"))
     out = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     return (
-        out.join(best, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left")
-        .withColumn("rule", F.col("best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("best.verdict"), F.lit(default)))
-        .drop("u_host", "u_path", "best")
+        out.join(best, (F.col("host") == F.col("_tm_host")) & (F.col("path") == F.col("_tm_path")), "left")
+        .withColumn("rule", F.col("_tm_best.rule"))
+        .withColumn("verdict", F.coalesce(F.col("_tm_best.verdict"), F.lit(default)))
+        .drop("_tm_host", "_tm_path", "_tm_best")
     )
 
 
