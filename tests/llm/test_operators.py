@@ -1,0 +1,329 @@
+"""Each operator on awkward rows (nulls, empty and long texts, ties, repeats, clashing columns, empty tables), and
+against brute force, an exact round trip, or held-out rows."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill.llm import ann, components, jaccard, lm, mixing, pieces, pii, substrings, toxicity, urlrules, vectors
+from tracemill.llm.shared import prepare
+from tracemill.llm.tokens import Words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, node string, size string, rank string, shard string, chunk string, score double"
+
+
+def lower(text):
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    prepare(spark)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    passage = " ".join(rng.choice(words) for _ in range(70))
+    texts = [None, "", " \n\t", "one", "Ümläut\u00a0x É", "a b c", "A b\x0bc"]
+    base = " ".join(rng.choice(words) for _ in range(90))
+    texts += [base, base, base.replace("w1", "w2", 1), base + " tail"]
+    texts += [" ".join(rng.choice(words) for _ in range(rng.randint(1, 120))) for _ in range(30)]
+    texts += [f"{' '.join(rng.choice(words) for _ in range(20))} {passage} {rng.random()}" for _ in range(4)]
+    texts += ["x " * 300, "x " * 200, " ".join(rng.choice(words) for _ in range(6000)), "ab " * 80 + "y"]
+    texts += [f"call bob@mail.example.com or +1 (626) 555-5759 code z9 {i}" for i in range(4)]
+    texts += ["ip 10.0.0.300 and 10.0.0.7.8 card 4111 1111 1111 1111, 4111111111111112 a@b.c_d@e.f " + "7" * 3000]
+    rows = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", 0, "a", "b", "c", "d", "e", "f", 0.5) for i, t in enumerate(texts)]
+    rows.append((None, "no id at all", None, None, None, *rows[0][5:]))
+    rows.append(rows[7])
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_words_of_pieces():
+    texts = [b"", b" a  bb ", b"c", b"\xc3\xa9 x\x0by", b"  "]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    words = Words(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert words.counts.tolist() == [len(t.split()) for t in texts]
+    assert len(set(words.hash.tolist())) == len({w for t in texts for w in t.split()})
+
+
+# 1
+def test_pii(docs, empty):
+    rows = {(r.doc_id, r.tie): r for r in pii.find(docs).collect()}
+    assert len({k[0] for k in rows}) == docs.select("doc_id").distinct().count()
+    found = [r for r in rows.values() if len(r.base) > 3]
+    kinds = collections.Counter(s.kind for r in found for s in r.base)
+    assert kinds["email"] == 2 and kinds["ip"] == 1 and kinds["card"] == 1
+    # The same words stand near one address in four documents and nowhere else.
+    assert any(s.kind in ("term", "gone") for r in rows.values() for s in r.terms)
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[0] is None and clean[1] == "" and clean[3] == "one"
+    assert not any("bob@mail" in (t or "") for t in clean.values()) and any("<EMAIL>" in (t or "") for t in clean.values())
+    assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == docs.count()
+    assert pii.find(empty).count() == 0 and pii.sanitise(empty).count() == 0
+
+
+# 2
+def test_toxicity(spark, docs, empty):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("aeioubcdfg") for _ in range(6)) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(60)]
+        if i % 4 == 0:
+            text[::12] = [rng.choice(["wretched", "wretchedly", "loathsome"]) for _ in text[::12]]
+        rows.append((i, " ".join(text), int(i % 4 == 0)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(table, table.filter("doc_id < 280").select("doc_id", "toxic"))
+    got = toxicity.score(table.filter("doc_id >= 280"), model, "doc_id", "toxic").collect()
+    assert np.mean([(r.score >= 0.7) == (r.toxic == 1) for r in got]) > 0.95
+    # A misspelling that was never seen shares most of its character n-grams.
+    odd = spark.createDataFrame([(0, " ".join(["wretchedd", "loathsomme"] + words[:20])), (1, " ".join(words[20:42]))], "doc_id long, text string")
+    a, b = (r.score for r in toxicity.score(odd, model, "doc_id").orderBy("doc_id").collect())
+    assert a > b
+    scored = toxicity.score(docs, model, *docs.columns, out="_tm_score")
+    assert scored.count() == docs.count() and all(0 <= r._tm_score <= 1 for r in scored.collect())
+    assert toxicity.score(empty, model, "doc_id").count() == 0
+    none = toxicity.learn(empty, table.limit(0).select("doc_id", "toxic"))
+    assert all(r.score < 0.01 for r in toxicity.score(docs, none, "doc_id").collect())
+
+
+# 3
+def test_substrings(docs, empty):
+    for window in (50, 8):
+        rows = [(r.doc_id, (r.text or "").encode().split()) for r in docs.collect()]
+        rank = lambda i: math.inf if i is None else i
+        owner = {}
+        for i, w in rows:
+            for p in range(len(w) - window + 1):
+                key = tuple(w[p : p + window])
+                owner[key] = min(owner.get(key, math.inf), rank(i))
+        want = collections.Counter()
+        for i, w in rows:
+            gone = set()
+            for p in range(len(w) - window + 1):
+                if owner[tuple(w[p : p + window])] < rank(i):
+                    gone.update(range(p, p + window))
+            want[i, len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()] += 1
+        got = collections.Counter(tuple(r) for r in substrings.deduplicate(docs, window=window).collect())
+        assert got == want
+    assert substrings.deduplicate(empty).count() == 0
+
+
+# 4
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16))
+    x[100:160] = x[:60] + 0.05 * rng.normal(size=(60, 16))
+    x[160:190] = x[5]
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(x.astype(np.float32))]
+    rows += [(300, None, 1), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 1), (303, x[5].tolist(), None), (304, [], 0), (305, [None, 1.0], 0), (306, [1.0, 2.0], 0)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    root = list(range(307))
+    links = collections.Counter()
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    for i in range(300):
+        for j in range(i):
+            if i % 2 == j % 2 and y[i] @ y[j] >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert len(got) == 307
+    for i in range(307):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (links[i], find(i), find(i) == i)
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert vectors.near_duplicates(none).count() == 0
+
+
+def test_graph_search_recall():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(800, 24))
+    x[400:] = x[:400] + 0.06 * rng.normal(size=(400, 24))
+    x = vectors.unit(x)
+    found, truth = vectors.search(x, vectors.graph(x), 0.98), vectors.scan(x, np.arange(800), 0.98)
+    assert len(truth) > 300 and np.isin(truth, found).mean() > 0.98 and np.isin(found, truth).all()
+
+
+# 5
+def test_mixing(spark, docs, empty):
+    rows = mixing.plan(docs).collect()
+    assert len(rows) == docs.count()
+    total = sum(r["size"] for r in rows)
+    shares = {r.source: (r.source_size, r.target) for r in rows}
+    assert abs(sum(t for _, t in shares.values()) - 1.5 * total) < 1e-6 and all(t <= 2 * s + 1e-9 for s, t in shares.values())
+    assert all(0 <= r.copies <= 2 for r in rows)
+    assert mixing.mix(docs).count() == sum(r.copies for r in rows) and mixing.mix(docs).columns == docs.columns
+    assert sorted(map(str, mixing.plan(docs).collect())) == sorted(map(str, rows))
+    assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
+    big = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 90).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, "a").otherwise("b").alias("source"))
+    sums = mixing.plan(big).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) < 200 for r in sums)
+
+
+# 6
+def sets_of(rows, width):
+    out = {}
+    for r in rows:
+        w = lower(r.text).split()
+        out[r.doc_id] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    return out
+
+
+@pytest.mark.parametrize("width,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_jaccard(spark, docs, empty, width, num, den):
+    rng = random.Random(width)
+    words = [f"v{i}" for i in range(40)]
+    extra, i = [], 10_000
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 45))]
+        for _ in range(4):
+            text = list(base)
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            extra.append((i, " ".join(text[: rng.choice([len(text), len(text) - 1])])))
+            i += 1
+    table = docs.filter("doc_id is not null").select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    sets = sets_of(table.collect(), width)
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for a in keys:
+        for b in keys:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if den * both >= num * (len(sets[a]) + len(sets[b]) - both):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    got = {r.doc_id: (r.n_shingles, r.component) for r in jaccard.clusters(table, width=width, num=num, den=den).collect()}
+    assert got == {k: (len(sets[k]), find(k)) for k in keys}
+    kept = jaccard.keep_one(docs, width=width, num=num, den=den)
+    assert kept.columns == docs.columns and kept.filter("doc_id = 7").count() == 1 and kept.filter("doc_id = 8").count() == 0
+    assert jaccard.clusters(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7), (200, 200)]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "x long, y long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200}
+
+
+# 7
+def test_pieces(docs, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    coded = pieces.encode(docs, "doc_id", "text")
+    for r in coded.collect():
+        assert list(r.ids) == sp.encode(r.text or "")
+    assert all((r.text or "") == r.decoded for r in pieces.decode(coded.withColumnRenamed("text", "given"), "given").select(F.col("given").alias("text"), F.col("text").alias("decoded")).collect())
+    assert pieces.digests(docs, "doc_id").filter("not round_trip").count() == 0
+    assert pieces.digests(empty, "doc_id").count() == 0
+
+
+def test_pieces_on_random_text():
+    import sentencepiece
+
+    sp, codec, rng = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL), pieces.Codec(pieces.vocabulary()), random.Random(1)
+    texts = ["".join(rng.choice("abcdefghinrst    .▁éü1\n語🤖") for _ in range(rng.randint(1, 60))) for _ in range(1500)] + ["x" * 400, " " * 70]
+    for text, ids in zip(texts, codec.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text)
+
+
+# 8
+def test_url_rules(spark):
+    urls = ["http://www.Example.com/en/1", "https://a.example.com/en/2?x=/es/", "https://example.com", "http://b.net/es/1#t", "http://net/fr/", "x://anet/es/", None, "no scheme", "://", "http://a.com/#"]
+    pages = spark.createDataFrame([(i, u, "mine", 1) for i, u in enumerate(urls + urls[:2])], "page_id long, url string, host string, rank int")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlrules.judge(pages, urlrules.rules_table(spark, urlrules.RULES)).collect()}
+    assert got == {
+        0: ("www.example.com/en/", "allow"), 1: ("example.com/en/", "block"), 2: (None, "allow"), 3: ("net/es/", "block"), 4: ("net/fr/", "block"),
+        5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("com/", "allow"), 10: ("www.example.com/en/", "allow"), 11: ("example.com/en/", "block"),
+    }
+    assert urlrules.judge(pages.limit(0), urlrules.rules_table(spark, urlrules.RULES)).count() == 0
+
+
+# 9
+def test_lm(docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 9000)
+    rows = docs.collect()
+    tokens = lambda t: [*lower(t).split(), None]
+    train = [r for r in rows if r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    single, pair, after = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for r in train:
+        s = tokens(r.text)
+        single.update(s)
+        for a, b in zip([0, *s[:-1]], s):
+            pair[a, b] += 1
+            after[a].add(b)
+    once = collections.Counter(a for (a, b), c in pair.items() if c == 1)
+    n, v = sum(single.values()), len(single)
+    model = lm.build(docs.filter(~lm.held_out()), 5)
+    got = collections.defaultdict(list)
+    for r in lm.score(docs, model, 5, 7).collect():
+        got[r.doc_id].append(r)
+    for r in rows:
+        s = tokens(r.text)
+        p1 = [(single[w] + 1) / (n + v + 1) for w in s]
+        score = 0
+        for a, b, p in zip([0, *s[:-1]], s, p1):
+            c, k = (len(train) if a == 0 else single[a]), len(after[a])
+            score += math.log10((pair[a, b] if pair[a, b] > 1 else 0) / (c + k) + (k + once[a]) / (c + k) * p if c else p)
+        q = got[r.doc_id][0]
+        assert (q.n_tokens, q.n_known, q.train_tokens) == (len(s), sum(single[w] > 0 for w in s), n)
+        assert math.isclose(q.base_score, sum(map(math.log10, p1)), rel_tol=1e-9)
+        assert abs(q.score - score) < 0.03 * len(s)
+    assert sum(map(len, got.values())) == len(rows)
+    assert lm.score(empty, model, 5, 7).count() == 0
+    blank = lm.build(empty, 2)
+    assert all(r.n_known == 0 and r.score == 0 for r in lm.score(docs, blank, 2, 3).collect())
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(4)
+    for x in (np.zeros(0), [0], [0, 0, 5], rng.integers(0, 1 << 62, 1000), np.arange(300)):
+        x = np.sort(np.array(x).astype(np.uint64))
+        assert (lm.EliasFano.decode(lm.EliasFano.encode(x)) == x).all()
+
+
+# 10
+def test_ann(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24)).astype(np.float32)
+    x[500:600] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, None), (5020, [0.0] * 24), (5040, [float("inf")] * 24), (5060, [1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.search(table, table.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    y, hit = x.astype(float), 0
+    assert set(got) == set(range(0, 3000, 20))
+    for q, found in got.items():
+        s = y @ y[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(3000), -s))[:20]
+        hit += len(set(want.tolist()) & {i for i, _ in found})
+        assert len(found) == 20 and all(math.isclose(score, y[i] @ y[q], rel_tol=1e-9, abs_tol=1e-9) for i, score in found)
+    assert hit / (20 * len(got)) >= 0.9
+    few = table.filter("vec_id < 5")
+    assert ann.search(few, few.filter("vec_id % 20 = 0")).count() == 4
+    assert ann.search(table.limit(0), table.limit(0)).count() == 0
