@@ -30,8 +30,8 @@ SHORTEST, LONGEST = 3, 5
 SAMPLE, SAMPLE_BYTES = (3000, 1500), 24_000_000
 #: A text of fewer distinct words counts as filled up with neutral ones.
 PAD = 16
-#: Passes over the sample; a small one gets at least STEPS batches in all.
-EPOCHS, STEPS, RATE, BATCH = 8, 300, 0.15, 64
+#: Passes over the sample; a small one gets about STEPS batches in all at least.
+EPOCHS, STEPS, RATE, BATCH = 8, 600, 0.15, 64
 THRESHOLD = 0.7
 
 
