@@ -200,34 +200,60 @@ def _contents(width: int):
             for a, b in pieces(offsets):
                 sets = Sets(buf, offsets[a : b + 1], width)
                 raw = [sets.hash[sets.begin[i] : sets.begin[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary())], names=["node", "content"])
+                thin = (sets.hash >> U(48)).astype("<u2")
+                shadow = [thin[sets.begin[i] : sets.begin[i + 1]].tobytes() for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary()), pa.array(shadow, pa.binary())], names=["node", "content", "shadow"])
 
     return run
 
 
-def _linked(num: int, den: int):
+def _linked(num: int, den: int, kind):
+    """Whether sorted arrays agree enough. Of shadows, the leading 16 bits of each hash, as many agree at least as of
+    the hashes, so a pair that fails on them fails."""
+
     def run(batches):
         for batch in batches:
             hits = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
+                if kind == U:
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                else:
+                    # Equal shadows pair up by their numbers.
+                    common = int(np.minimum(np.bincount(x, minlength=1 << 16), np.bincount(y, minlength=1 << 16)).sum()) if len(both) > 4096 else _common(x, y)
                 hits.append(den * common >= num * (len(both) - common))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hits, pa.bool_())], names=["x", "y", "linked"])
 
     return run
 
 
-def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) of the pairs that link, by their whole sets."""
-    left = contents.select(F.col("node").alias("x"), F.col("content").alias("cx"))
-    right = contents.select(F.col("node").alias("y"), F.col("content").alias("cy"))
-    # Sets whose sizes alone rule a link out are not compared.
-    low, high = F.least(F.length("cx"), F.length("cy")), F.greatest(F.length("cx"), F.length("cy"))
-    both = pairs.join(left, "x").join(right, "y").filter(den * low >= num * high).select("x", "y", "cx", "cy")
-    return both.mapInArrow(_linked(num, den), "x long, y long, linked boolean").filter("linked").select("x", "y")
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets: the k-th of a value in one meets the k-th in the other."""
+    nth = lambda v: np.arange(len(v)) - np.searchsorted(v, v)
+    return len(np.intersect1d(x.astype(np.int64) << 20 | nth(x), y.astype(np.int64) << 20 | nth(y), assume_unique=True))
+
+
+def _compared(pairs: DataFrame, contents: DataFrame, num: int, den: int, column: str, kind) -> DataFrame:
+    left = contents.select(F.col("node").alias("x"), F.col(column).alias("cx"))
+    right = contents.select(F.col("node").alias("y"), F.col(column).alias("cy"))
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", "cx", "cy")
+    return both.mapInArrow(_linked(num, den, kind), "x long, y long, linked boolean").filter("linked").select("x", "y")
+
+
+def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int, many: bool = False) -> DataFrame:
+    """(x, y) of the pairs that link, by their whole sets.
+
+    Pairs whose sizes rule a link out go first; where they are many, shadows of a quarter of the size rule out most
+    of the rest before whole sets are moved.
+    """
+    size = lambda c: contents.select(F.col("node").alias(c), (F.length("content") / 8).alias(f"s{c}"))
+    low, high = F.least("sx", "sy"), F.greatest("sx", "sy")
+    pairs = pairs.join(size("x"), "x").join(size("y"), "y").filter(den * low >= num * high).select("x", "y")
+    if many:
+        pairs = materialise(_compared(pairs, contents, num, den, "shadow", np.dtype("<u2")), "near")
+    return _compared(pairs, contents, num, den, "content", U)
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -244,7 +270,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     holders = summary.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
     holders = holders.select("node", F.col("id").alias("h_id"))
     texts = raw.join(holders, F.col("id") == F.col("h_id")).select("node", "text")
-    contents = materialise(texts.mapInArrow(_contents(width), "node long, content binary").dropDuplicates(["node"]), "contents")
+    contents = materialise(texts.mapInArrow(_contents(width), "node long, content binary, shadow binary").dropDuplicates(["node"]), "contents")
     best = stars.groupBy("y").agg(F.max_by("x", F.struct("met", -F.col("x"))).alias("x")).select("x", "y")
     links = materialise(verify(best, contents, num, den), "links")
     roots = materialise(components(links), "roots")
@@ -258,7 +284,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     done = best
     more = materialise(apart(stars.select("x", "y").join(best, ["x", "y"], "left_anti")), "more")
     if not more.isEmpty():
-        links = materialise(links.union(verify(more, contents, num, den)), "links")
+        links = materialise(links.union(verify(more, contents, num, den, many=True)), "links")
         roots = materialise(components(links), "roots")
         done = done.union(more)
     # Lists that still hold several components: whatever is left to compare in them.
@@ -270,7 +296,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     rest = left.join(right, "key").filter("x < y and rx <> ry").select("x", "y").distinct()
     rest = materialise(rest.join(done.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"), "rest")
     if not rest.isEmpty():
-        links = materialise(links.union(verify(rest, contents, num, den)), "links")
+        links = materialise(links.union(verify(rest, contents, num, den, many=True)), "links")
         roots = materialise(components(links), "roots")
     named = summary.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     final = named.groupBy("root").agg(F.min("least").alias("component"))

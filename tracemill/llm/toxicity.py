@@ -98,6 +98,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarra
         return np.zeros(1 << BITS), -1e3
     rng = np.random.default_rng(seed)
     begin, word, gram_begin, gram = _bags(texts)
+    texts.clear()  # the driver holds the sample once
     table = rng.normal(0, 1.0 / DIM, (1 << BITS, DIM)).astype(np.float32)
     out, bias = rng.normal(0, 1.0 / DIM, DIM), 0.0
     seen_table, seen_out, seen_bias = np.full((1 << BITS, DIM), 1e-6, np.float32), np.full(DIM, 1e-6), 1e-6
@@ -110,7 +111,7 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarra
             grams, sizes = _ranges(gram_begin, word[where])
             bucket = gram[grams]
             # Weight of an n-gram in its text: 1 / (n-grams of its word) / (words of its text).
-            share = np.repeat(1.0 / sizes / np.maximum(lens, PAD)[text], sizes)
+            share = np.repeat(1.0 / sizes / np.maximum(lens, PAD)[text], sizes).astype(np.float32)
             owner = np.repeat(text, sizes)
             part = table[bucket] * share[:, None]
             vector = np.stack([np.bincount(owner, part[:, d], len(rows)) for d in range(DIM)], 1)
@@ -167,7 +168,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         size += len(row.d_text)
         if size <= SAMPLE_BYTES:
             got.append(row)
-    return train([r.d_text for r in got], [r.l_label for r in got])
+    texts, marks = [r.d_text for r in got], [r.l_label for r in got]
+    del got
+    return train(texts, marks)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], *columns: str, text: str = "text", out: str = "score") -> DataFrame:
