@@ -76,8 +76,14 @@ def chain(blocks: Column) -> Column:
 def word_blocks(text: Column, size: int) -> Column:
     """Full blocks of `size` words, joined by blanks."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    full = F.floor(F.size(words) / size).cast("int")
-    return F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.array_join(F.slice(words, i * size + 1, size), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def cut(w: Column) -> Column:
+        full = F.floor(F.size(w) / size).cast("int")
+        return F.when(full > 0, F.transform(F.sequence(F.lit(0), full - 1), lambda i: F.array_join(F.slice(w, i * size + 1, size), " "))).otherwise(none)
+
+    # Bound once: inside the lambda the text would be split anew for each block.
+    return F.transform(F.array(words), lambda w: cut(w))[0]
 
 
 def cached_prefix(df: DataFrame, key: str, blocks: str) -> DataFrame:
