@@ -151,6 +151,27 @@ def test_vectors(spark):
     assert vectors.near_duplicates(none).count() == 0
 
 
+def pairs_of_vectors(n, dim, seed):
+    """n vectors, the second half at cosine 0.981 from the first."""
+    rng = np.random.default_rng(seed)
+    x = vectors.unit(rng.normal(size=(n, dim)))
+    away = rng.normal(size=(n // 2, dim))
+    away = vectors.unit(away - (away * x[: n // 2]).sum(1, keepdims=True) * x[: n // 2])
+    x[n // 2 :] = 0.981 * x[: n // 2] + np.sqrt(1 - 0.981**2) * away
+    return x.astype(np.float32)
+
+
+def test_vectors_of_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    x = pairs_of_vectors(2400, 32, 3)
+    y = vectors.unit(x.astype(float))
+    want = (y @ y.T >= 0.98).sum(1) - 1
+    assert want.sum() >= 2400
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(table).collect()}
+    assert got == dict(enumerate(want.tolist()))
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(800, 24))

@@ -2,7 +2,9 @@
 
 Vectors of one label (and length) link when their cosine is at least the threshold. Equal vectors are one node
 with a multiplicity, so copies are never expanded. Nodes fall into shards around centroids of their label, drawn by
-hash, OVERLAP nearest ones each; a shard larger than LIMIT is cut into blocks and searched by pairs of blocks, so
+hash. The midpoint of a linking pair has a nearest centroid, and both ends lie within half the largest distance r of
+a link from it; so a node joins every shard whose centroid may be the nearest one of a point within r / 2, and each
+linking pair shares a shard. A shard larger than LIMIT is cut into blocks and searched by pairs of blocks, so
 no task holds more than twice LIMIT, whatever the shard. Then:
 
 1. each task links a node with its nearest ones and prunes them robustly (a neighbour goes when another kept one
@@ -15,8 +17,7 @@ no task holds more than twice LIMIT, whatever the shard. Then:
    scans instead, in rows of blocks.
 
 A pair that several tasks hold is counted by the first of them; tasks return per node the links it has, and a
-spanning forest of them, never all pairs. Links between nodes that no shard has in common would be lost; up to three
-shards a label any two nodes share one and the search is complete, and beyond that the tests measure its recall.
+spanning forest of them, never all pairs.
 
 Edge cases: a null label, a null, empty or zero vector, and one with null or non-finite components, link with
 nothing; repeated rows of one id count as separate vectors; an empty table gives no rows.
@@ -33,9 +34,10 @@ from tracemill.llm.components import components
 from tracemill.llm.shared import materialise
 
 THRESHOLD = 0.98
-#: Rows that a shard should have, rows of a block, shards of a node.
+#: Rows that a shard should have before others join it, rows of a block.
 SHARD, LIMIT = 2500, 4000
-OVERLAP = 2
+#: Nearest centroids of a node that may rule out the others.
+RIVALS = 8
 #: Centroids in all; they are sent with the function.
 CENTROIDS = 20_000
 DEGREE, NEAREST, ALPHA, SLACK, AUDIT = 16, 24, 1.2, 0.03, 48
@@ -140,17 +142,30 @@ def scan(x: np.ndarray, rows: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _assign(centroids: dict, overlap: int):
+def shards_of(x: np.ndarray, centroids: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The centroids that may be the nearest of the midpoint of a row and another one that it links with."""
+    half, out = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2, []
+    for at in range(0, len(x), 256):
+        s = x[at : at + 256] @ centroids.T
+        may = np.ones(s.shape, bool)
+        width = min(RIVALS, s.shape[1])
+        for rival in np.argpartition(-s, width - 1, 1)[:, :width].T:
+            # A point nearer to c than to the rival is at most `half` away: a plane lies between them.
+            apart = np.sqrt(np.maximum(0, 2 - 2 * centroids[rival] @ centroids.T))
+            may &= s + half * apart + 1e-7 >= np.take_along_axis(s, rival[:, None], 1)
+        out += [np.flatnonzero(row) for row in may]
+    return out
+
+
+def _assign(centroids: dict, threshold: float):
     def run(batches):
         for batch in batches:
             groups, rows = batch.column(1).to_pylist(), []
             x = batch.column(2)
             for group in sorted(set(groups)):
                 mine = np.flatnonzero([g == group for g in groups])
-                near = centroids[group]
-                s = unit(matrix(x.take(pa.array(mine)))) @ near.T
-                order = np.argsort(-s, 1, kind="stable")[:, :overlap]
-                rows += zip(mine.tolist(), np.sort(order, 1).tolist())
+                found = shards_of(unit(matrix(x.take(pa.array(mine)))), centroids[group], threshold)
+                rows += zip(mine.tolist(), [f.tolist() for f in found])
             rows.sort()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=[*batch.schema.names, "shards"])
 
@@ -186,12 +201,18 @@ def _found(threshold: float):
         # The first task that holds both ends counts the pair.
         block = rows["block"].to_numpy()
         i, j, shard = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["shard"][0].as_py()
-        wide = np.full((n, OVERLAP), -1)
-        for k, s in enumerate(rows["shards"].to_pylist()):
-            wide[k, : len(s)] = s
-        common = np.where((wide[a][:, :, None] == wide[b][:, None, :]) & (wide[a][:, :, None] >= 0), wide[a][:, :, None], 1 << 30)
-        mine = (common.min((1, 2)) == shard) & ((block[a] != block[b]) | (i == j))
+        mine = (block[a] != block[b]) | (i == j)
         a, b = a[mine], b[mine]
+        before = [[s for s in r if s < shard] for r in rows["shards"].to_pylist()]
+        wide = np.full((n, max(map(len, before))), -1)
+        for k, s in enumerate(before):
+            wide[k, : len(s)] = s
+        held = np.unique(np.concatenate([np.array([-1]), (np.arange(n)[:, None] * shard + wide)[wide >= 0]]))
+        for k in range(wide.shape[1]):
+            # held is sorted: whether b is in the k-th shard of a, too.
+            code = b * shard + wide[a, k]
+            there = (wide[a, k] >= 0) & (held[np.minimum(np.searchsorted(held, code), len(held) - 1)] == code)
+            a, b = a[~there], b[~there]
         links = np.bincount(a, times[b], n) + np.bincount(b, times[a], n)
         # A spanning forest: the smallest reachable node of each.
         root = np.arange(n)
@@ -229,7 +250,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     for g in missing:
         centroids[g] = [nodes.filter(F.col("group") == g).select("vector").first()[0]]
     centroids = {g: unit(np.array(v, np.float64)) for g, v in centroids.items()}
-    placed = nodes.select("node", "group", "vector", "times").mapInArrow(_assign(centroids, OVERLAP), "node long, group string, vector array<float>, times long, shards array<int>")
+    placed = nodes.select("node", "group", "vector", "times").mapInArrow(_assign(centroids, threshold), "node long, group string, vector array<float>, times long, shards array<int>")
     placed = materialise(placed, "placed")
     members = placed.withColumn("shard", F.explode("shards"))
     blocks = members.groupBy("group", "shard").agg(F.ceil(F.count("*") / F.lit(LIMIT)).cast("int").alias("blocks"))
