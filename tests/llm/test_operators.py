@@ -163,13 +163,17 @@ def pairs_of_vectors(n, dim, seed):
 
 def test_vectors_of_many_shards(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "WHOLE", 60, raising=False)
     x = pairs_of_vectors(2400, 32, 3)
     y = vectors.unit(x.astype(float))
     want = (y @ y.T >= 0.98).sum(1) - 1
     assert want.sum() >= 2400
     table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    drawn, assign = [], vectors._assign
+    monkeypatch.setattr(vectors, "_assign", lambda centroids, *how: drawn.append(len(centroids["0:32"])) or assign(centroids, *how))
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(table).collect()}
     assert got == dict(enumerate(want.tolist()))
+    assert drawn == [40]
 
 
 def test_graph_search_recall():

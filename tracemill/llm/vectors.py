@@ -34,8 +34,8 @@ from tracemill.llm.components import components
 from tracemill.llm.shared import materialise
 
 THRESHOLD = 0.98
-#: Rows that a shard should have before others join it, rows of a block.
-SHARD, LIMIT = 2500, 4000
+#: Rows that a shard should have before others join it, rows of a block, rows of a label that stay one shard.
+SHARD, LIMIT, WHOLE = 2500, 4000, 10_000
 #: Nearest centroids of a node that may rule out the others.
 RIVALS = 8
 #: Centroids in all; they are sent with the function.
@@ -164,6 +164,9 @@ def _assign(centroids: dict, threshold: float):
             x = batch.column(2)
             for group in sorted(set(groups)):
                 mine = np.flatnonzero([g == group for g in groups])
+                if group not in centroids:
+                    rows += [(m, [0]) for m in mine.tolist()]
+                    continue
                 found = shards_of(unit(matrix(x.take(pa.array(mine)))), centroids[group], threshold)
                 rows += zip(mine.tolist(), [f.tolist() for f in found])
             rows.sort()
@@ -238,17 +241,17 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count("*").alias("times"), F.min("id").alias("least")), "nodes")
     counts = {r["group"]: r["count"] for r in nodes.groupBy("group").count().collect()}
     per = max(SHARD, sum(counts.values()) // CENTROIDS + 1)
-    wanted = nodes.sparkSession.createDataFrame([(g, -(-c // per)) for g, c in counts.items()] or [("", 0)], "g string, k long")
-    # Hash order: the first k of each label, by a threshold rather than by sorting a label in one task.
-    share = F.col("k") / F.col("total")
-    wanted = wanted.join(nodes.sparkSession.createDataFrame([(g, c) for g, c in counts.items()] or [("", 1)], "t string, total long"), F.col("g") == F.col("t"))
-    drawn = nodes.join(F.broadcast(wanted), F.col("group") == F.col("g")).filter(F.pmod(F.xxhash64("node", F.lit("centroid")), F.lit(1 << 30)) < F.ceil(share * 1.5 * (1 << 30)) + 1).select("group", "vector")
+    # Labels of one shard need no centroid.
+    sizes = {g: -(-c // per) for g, c in counts.items() if c > WHOLE}
+    wanted = nodes.sparkSession.createDataFrame([(g, k, counts[g]) for g, k in sizes.items()] or [("", 0, 1)], "g string, k long, total long")
+    # The first k of each label in hash order; a threshold, four deviations above k, keeps the draw small.
+    share = (F.col("k") + 4 * F.sqrt("k") + 8) / F.col("total")
+    order = F.pmod(F.xxhash64("node", F.lit("centroid")), F.lit(1 << 30))
+    drawn = nodes.join(F.broadcast(wanted), F.col("group") == F.col("g")).withColumn("order", order).filter(F.col("order") < F.ceil(share * (1 << 30)) + 1).select("group", "order", "node", "vector")
     centroids = {}
-    for r in drawn.limit(4 * CENTROIDS).collect():
-        centroids.setdefault(r["group"], []).append(r["vector"])
-    missing = [g for g in counts if g not in centroids]
-    for g in missing:
-        centroids[g] = [nodes.filter(F.col("group") == g).select("vector").first()[0]]
+    for r in sorted(drawn.collect(), key=lambda r: (r["order"], r["node"])) if sizes else []:
+        if len(centroids.setdefault(r["group"], [])) < sizes[r["group"]]:
+            centroids[r["group"]].append(r["vector"])
     centroids = {g: unit(np.array(v, np.float64)) for g, v in centroids.items()}
     placed = nodes.select("node", "group", "vector", "times").mapInArrow(_assign(centroids, threshold), "node long, group string, vector array<float>, times long, shards array<int>")
     placed = materialise(placed, "placed")
