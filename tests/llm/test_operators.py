@@ -8,6 +8,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +177,31 @@ def test_vectors_of_many_shards(spark, monkeypatch):
     assert drawn == [40]
 
 
+def tight_groups(seed, n=3000):
+    """A task of n vectors with two pairs of groups of 26, all of a pair at a cosine of some 0.985."""
+    rng = np.random.default_rng(seed)
+    x = vectors.unit(rng.normal(size=(n, 64)))
+    for at in (0, 100):
+        away = rng.normal(size=64)
+        away -= (away @ x[at]) * x[at]
+        x[at + 26] = 0.985 * x[at] + np.sqrt(1 - 0.985**2) * away / np.linalg.norm(away)
+        for centre in (at, at + 26):
+            x[centre : centre + 26] = x[centre] + 0.0005 * rng.normal(size=(26, 64))
+    return pa.table({
+        "node": pa.array(np.arange(n)), "vector": pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32())), "times": pa.array(np.ones(n, np.int64)), "shards": pa.array([[0]] * n, pa.list_(pa.int32())),
+        "shard": pa.array([0] * n, pa.int32()), "block": pa.array([0] * n, pa.int32()), "i": pa.array([0] * n, pa.int32()), "j": pa.array([0] * n, pa.int32()),
+    })
+
+
+def test_links_between_tight_groups():
+    rows = tight_groups(0)
+    y = vectors.unit(vectors.matrix(rows["vector"]))
+    want = (y @ y.T >= 0.98).sum(1) - 1
+    assert want[:52].min() == want[100:152].min() == 51
+    found = vectors._found(0.98)(rows.append_column("near", vectors._built(rows)["near"]))
+    assert found["links"].to_pylist() == want.tolist()
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(800, 24))
