@@ -357,6 +357,16 @@ def test_elias_fano():
 
 
 # 10
+def test_centroids_of_clusters():
+    rng = np.random.default_rng(8)
+    centre = np.concatenate([20 * rng.normal(size=24) + rng.normal(size=(40, 24)) for _ in range(8)])
+    lists = ann.Centroids(centre)
+    for q in centre[::7] + 0.1:
+        nearest = np.argmin(((centre - q) ** 2).sum(1))
+        assert lists.walk(q, 0.1)[0][0] == nearest
+    assert len(lists.walk(centre[0], ann.RATIOS[-1])[0]) == len(centre)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(3000, 24)).astype(np.float32)

@@ -5,8 +5,9 @@ largest inner product is the least Euclidean distance. Centroids are fitted, wit
 bounded sample (SAMPLE rows, by hash); every row is indexed. A row joins its nearest list, and those further lists
 whose centroid is at most (1 + REPLICATE) times as far and not nearer to a list it is already in than to the row
 (COPIES at most). Queries find their lists by a greedy beam walk over the centroids' neighbour graph, held in
-memory; distance-ratio pruning keeps those at most (1 + ratio) times as far as the first. The ratio is the smallest
-that reaches TARGET recall on the sample. Lists longer than LIMIT are cut into blocks, each searched for all
+memory, whose edges go both ways and whose components are joined and entered one by one; distance-ratio pruning keeps
+those at most (1 + ratio) times as far as the first. The ratio is the smallest
+that reaches TARGET recall on the sample; where none does, the centroids are scanned and all lists searched. Lists longer than LIMIT are cut into blocks, each searched for all
 queries of the list; a task returns its best k a query, and those of a query are merged. Scores are inner products of the
 original vectors in double precision.
 
@@ -72,14 +73,36 @@ class Centroids:
             d = distances(centre[a : a + 512], centre)
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
             near.append(np.argsort(d, 1)[:, :width])
-        self.near = np.concatenate(near) if near else np.zeros((0, 0), int)
-        self.entry = int(np.argmin(((centre - centre.mean(0)) ** 2).sum(1)))
+        right = np.concatenate([row for part in near for row in part] or [np.zeros(0, int)]).astype(int)
+        left = np.repeat(np.arange(n), width)
+        root = np.arange(n)
+        while len(left):
+            # The smallest centroid of each component.
+            before = root.copy()
+            np.minimum.at(root, left, before[right])
+            np.minimum.at(root, right, before[left])
+            root = root[root]
+            if (root == before).all():
+                break
+        # Each component is entered at its most central centroid.
+        entries = []
+        for r in np.unique(root):
+            mine = np.flatnonzero(root == r)
+            entries.append(mine[np.argmin(((centre[mine] - centre[mine].mean(0)) ** 2).sum(1))])
+        self.entries = np.array(entries)
+        both = np.unique(np.concatenate([left * n + right, right * n + left]))
+        self.begin = np.searchsorted(both // n, np.arange(n + 1))
+        self.near = both % n
 
     def walk(self, q: np.ndarray, ratio: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-        """Lists by distance: beam search from the middle; the beam widens until its last is out of the ratio."""
+        """Lists by distance: beam search from all components; the beam widens until its last is out of the ratio."""
         n = len(self.centre)
+        if ratio >= RATIOS[-1]:
+            dist = np.sqrt(((self.centre - q) ** 2).sum(1))
+            order = np.argsort(dist, kind="stable")
+            return order, dist[order]
         dist = np.full(n, np.inf)
-        dist[self.entry] = np.sqrt(((self.centre[self.entry] - q) ** 2).sum())
+        dist[self.entries] = np.sqrt(((self.centre[self.entries] - q) ** 2).sum(1))
         opened = np.zeros(n, bool)
         while True:
             order = np.argsort(dist, kind="stable")
@@ -89,7 +112,7 @@ class Centroids:
             if not len(todo):
                 break
             opened[todo] = True
-            fresh = np.unique(self.near[todo])
+            fresh = np.unique(np.concatenate([self.near[self.begin[t] : self.begin[t + 1]] for t in todo]))
             fresh = fresh[np.isinf(dist[fresh])]
             dist[fresh] = np.sqrt(((self.centre[fresh] - q) ** 2).sum(1))
         kept = order[dist[order] <= (1 + ratio) * dist[order[0]]]
