@@ -273,6 +273,18 @@ def test_jaccard(spark, docs, empty, width, num, den):
     assert jaccard.clusters(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_by_row(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    near = lambda k: text(k) + " more"
+    # Null ids: a near copy of an id's text, texts of their own, a copy among themselves. Id 2 has two texts.
+    rows = [(1, text("a")), (None, near("a")), (None, text("b")), (None, text("c")), (None, near("c")), (2, text("d")), (2, text("e")), (3, near("e")), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0), r.text) for r in jaccard.keep_one(table).collect() if r.text)
+    c = [t for k, t in kept if t in (text("c"), near("c"))]
+    assert len(c) == 1 and kept == sorted([(1, text("a")), (0, text("b")), (0, c[0]), (2, text("d")), (2, text("e"))])
+    assert jaccard.keep_one(table).filter("text is null").count() == 1
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (7, 7), (200, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "x long, y long")).collect()}

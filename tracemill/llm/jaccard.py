@@ -22,7 +22,8 @@ with each list's smallest node, then all that remain. So a group of near copies
 and no link between components is lost. Comparisons are exact on whole sets.
 
 Edge cases: null and empty texts have the empty set and link with nothing; repeated rows are one node; a null id
-counts as absent when the smallest id of a component is taken; an empty table gives no rows.
+counts as absent when the smallest id of a component is taken; rows are told apart by id and hash of the text, so
+null ids and an id of several texts do no harm; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
@@ -146,7 +147,7 @@ def _summary(width: int):
             buf, offsets = column(batch.column(1))
             for a, b in pieces(offsets):
                 sets = Sets(buf, offsets[a : b + 1], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.size, pa.int64()), pa.array(sets.node)], names=["id", "n_shingles", "node"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.size, pa.int64()), pa.array(sets.node), batch.column(2).slice(a, b - a)], names=["id", "n_shingles", "node", "tie"])
 
     return run
 
@@ -256,20 +257,25 @@ def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int, many: bool
     return _compared(pairs, contents, num, den, "content", U)
 
 
+def _tie(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(key, n_shingles, node, component) of each row; component: the smallest key that links reach."""
-    raw = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    """(key, n_shingles, node, component, root, tie) of each row; component: the smallest key that links reach, root: what
+    all rows of a component share, tie: a hash of the text."""
+    raw = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), _tie(text).alias("tie"))
     shards = 1 + (raw.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD
     kind = docs.schema[key].dataType.simpleString()
-    summary = materialise(raw.mapInArrow(_summary(width), f"id {kind}, n_shingles long, node long"), "sets")
+    summary = materialise(raw.mapInArrow(_summary(width), f"id {kind}, n_shingles long, node long, tie long"), "sets")
     packed = raw.select("text").mapInArrow(_packed(width, num, den, shards), "shard int, keys binary, numbers binary, nodes binary")
     lists = materialise(packed.groupBy("shard").applyInArrow(_lists, "key long, node long"), "lists")
     pivots = lists.groupBy("key").agg(F.min("node").alias("x"))
     stars = materialise(lists.join(pivots, "key").filter("node <> x").groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("met")), "stars")
     # One text of each node that is in a list.
-    holders = summary.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
-    holders = holders.select("node", F.col("id").alias("h_id"))
-    texts = raw.join(holders, F.col("id") == F.col("h_id")).select("node", "text")
+    holders = summary.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "tie")).alias("h"))
+    holders = holders.select("node", F.col("h.id").alias("h_id"), F.col("h.tie").alias("h_tie"))
+    texts = raw.join(holders, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))).select("node", "text")
     contents = materialise(texts.mapInArrow(_contents(width), "node long, content binary, shadow binary").dropDuplicates(["node"]), "contents")
     best = stars.groupBy("y").agg(F.max_by("x", F.struct("met", -F.col("x"))).alias("x")).select("x", "y")
     links = materialise(verify(best, contents, num, den), "links")
@@ -300,19 +306,23 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
         roots = materialise(components(links), "roots")
     named = summary.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     final = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(final, "root").select("node", "component")
+    named = named.join(final, "root").select("node", "component", "root")
     out = summary.join(named, "node")
-    return out.select(F.col("id").alias(key), "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component"))
+    return out.select(F.col("id").alias(key), "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component"), "root", "tie")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without those that another of their component stands for: the smallest key's first row stays."""
-    found = clusters(docs, key, text, **how).select(F.col(key).alias("_tm_key"), F.col("component").alias("_tm_component"), F.col("n_shingles").alias("_tm_size")).dropDuplicates(["_tm_key"])
-    joined = docs.join(found, F.col(key).eqNullSafe(F.col("_tm_key")))
-    twin = Window.partitionBy(F.col(key), F.xxhash64(text)).orderBy(F.lit(0))
-    alone = F.col("_tm_size") == 0
-    kept = joined.filter(alone | F.col(key).eqNullSafe(F.col("_tm_component"))).withColumn("_tm_row", F.row_number().over(twin))
-    return kept.filter((F.col("_tm_row") == 1) | alone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without those that another of their component stands for: the smallest key's first row stays, one of a null key only
+    where no other is."""
+    found = clusters(docs, key, text, **how).select(F.col(key).alias("_tm_key"), F.col("tie").alias("_tm_tie"), "root", "n_shingles")
+    found = materialise(found, "found")
+    first = F.min(F.struct(F.col("_tm_key").isNull().alias("null"), "_tm_key", "_tm_tie")).alias("first")
+    stays = found.filter("n_shingles > 0").groupBy("root").agg(first).select("first._tm_key", "first._tm_tie", F.lit(False).alias("_tm_alone"))
+    stays = stays.unionByName(found.filter("n_shingles = 0").select("_tm_key", "_tm_tie", F.lit(True).alias("_tm_alone")).distinct())
+    kept = docs.join(stays, F.col(key).eqNullSafe(F.col("_tm_key")) & (_tie(text) == F.col("_tm_tie")))
+    twin = Window.partitionBy("_tm_key", "_tm_tie").orderBy(F.lit(0))
+    kept = kept.withColumn("_tm_row", F.row_number().over(twin))
+    return kept.filter((F.col("_tm_row") == 1) | F.col("_tm_alone")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
