@@ -97,6 +97,15 @@ def test_toxicity(spark, docs, empty):
     assert all(r.score < 0.01 for r in toxicity.score(docs, none, "doc_id").collect())
 
 
+def test_toxicity_sample_skips_long_texts(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    first = labels.orderBy(F.xxhash64("doc_id")).first().doc_id
+    table = spark.createDataFrame([(i, f"text {i}" + " long" * 200 * (i == first)) for i in range(20)], "doc_id long, text string")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 500)
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: (sorted(texts), len(marks)))
+    assert toxicity.learn(table, labels) == (sorted(f"text {i}" for i in range(20) if i != first), 19)
+
+
 # 3
 def test_substrings(docs, empty):
     for window in (50, 8):

@@ -163,11 +163,16 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # limit() keeps a class within its bound; ordering by a hash makes that a fixed draw.
     chosen = mine.filter("l_label = 1").orderBy("l_order", "l_key").limit(sample[1]).unionByName(mine.filter("l_label = 0").orderBy("l_order", "l_key").limit(sample[0]))
     rows = docs.select(F.col(key).alias("d_key"), F.coalesce(F.col(text), F.lit("")).alias("d_text")).join(F.broadcast(chosen), F.col("d_key") == F.col("l_key"))
-    got, size = [], 0
-    for row in sorted(rows.select("l_order", "d_key", "d_text", "l_label").collect()):
-        size += len(row.d_text)
-        if size <= SAMPLE_BYTES:
-            got.append(row)
+    # Lengths first: texts that do not fit are left out, and never reach the driver.
+    rows = rows.withColumn("d_tie", F.xxhash64("d_text"))
+    lengths = rows.groupBy("l_order", "d_tie").agg(F.sum(F.octet_length("d_text")).alias("size"))
+    fits, size = [], 0
+    for row in sorted(lengths.collect()):
+        if size + row["size"] <= SAMPLE_BYTES:
+            size += row["size"]
+            fits.append((row["l_order"], row["d_tie"]))
+    fits = docs.sparkSession.createDataFrame(fits, "l_order long, d_tie long")
+    got = sorted(rows.join(F.broadcast(fits), ["l_order", "d_tie"]).select("l_order", "d_key", "d_text", "l_label").collect())
     texts, marks = [r.d_text for r in got], [r.l_label for r in got]
     del got
     return train(texts, marks)
