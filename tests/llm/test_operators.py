@@ -72,6 +72,14 @@ def test_pii(docs, empty):
     assert pii.find(empty).count() == 0 and pii.sanitise(empty).count() == 0
 
 
+def test_pii_terms_everywhere(spark):
+    far = " ".join(f"f{i}" for i in range(30))
+    rows = [(i, f"zorg ann@mail.example.com {far} Zorg, end") for i in range(4)] + [(4, f"only zorg here {far}")] + [(i, f"plain {i} {far}") for i in range(5, 400)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(clean) == 400 and not any("zorg" in t.lower() for t in clean.values())
+    assert clean[4].startswith("only <TERM> here f0") and clean[0].endswith(" <TERM>, end") and clean[7] == rows[7][1]
+
+
 # 2
 def test_toxicity(spark, docs, empty):
     rng = random.Random(3)

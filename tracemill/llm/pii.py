@@ -7,8 +7,9 @@ Disclosure. Over the N documents of the corpus let k hold entity e, m hold term
 closest mention before or after t, at most WINDOW words away). The point-wise mutual information log(N j / (k m))
 is what t reveals of e, the information content log(N / k) is all there is to reveal. A term that reveals at
 least half of it, i.e. N j^2 >= k m^2, and was seen near e in at least SUPPORT documents is sanitised wherever it
-stands near e; one that occurs nowhere but near e (j = m) reveals all and is removed, others are generalised to
-a placeholder. Documents without protected values have nothing to disclose and stay as they are.
+stands in any document; one that occurs in no document but near e (j = m) reveals all and is removed, others are
+generalised to a placeholder. Left out: terms of values that fewer than SUPPORT documents hold, and values that
+are not the closest mention on either side of a word.
 
 Everything is DataFrame and SQL functions. Rows are told apart by (id, hash of the text). Counts are aggregated
 map-side; a set of terms or pairs is broadcast only after its rows were counted and found to be at most
@@ -106,6 +107,34 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _words(texts: DataFrame) -> DataFrame:
+    """(id, tie, term, start, end) of the words of texts, each (id, tie) once."""
+    parts = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
+    words = texts.select("id", "tie", F.posexplode(parts).alias("i", "p")).filter("p.word is not null")
+    line = Window.partitionBy("id", "tie").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = words.select("id", "tie", "i", F.col("p.word").alias("word"), F.sum(F.length("p.gap") + F.length("p.word")).over(line).cast("int").alias("stop"))
+    led = F.length("word") - F.length(F.ltrim("word", F.lit(PUNCTUATION)))
+    core = F.length(F.btrim("word", F.lit(PUNCTUATION)))
+    return words.select("id", "tie", _core(F.col("word")).alias("term"), (F.col("stop") - F.length("word") + led).alias("start"), (F.col("stop") - F.length("word") + led + core).alias("end"))
+
+
+def everywhere(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, tie, start, end, gone) of all words of whole texts that are disclosing terms and touch no base span."""
+    terms = materialise(pairs.groupBy("term").agg(F.max("whole").alias("gone")), "terms")
+    terms = _small(terms, terms.count())
+    cores = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), _core))
+    holding = docs.select("id", "tie", F.explode(cores).alias("term")).join(terms, "term", "left_semi")
+    holding = materialise(holding.select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie")).distinct(), "holding")
+    same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))
+    keys = _small(holding, holding.count())
+    texts = docs.join(keys, same, "left_semi").dropDuplicates(["id", "tie"])
+    hit = _words(texts).filter("term <> ''").join(terms, "term")
+    # Words that touch a base span go with it.
+    spans = base.filter(F.size("spans") > 0).select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie"), "spans").dropDuplicates(["k_id", "k_tie"])
+    touched = F.exists("spans", lambda x: (x["start"] < F.col("end")) & (x["end"] > F.col("start")))
+    return hit.join(spans, same, "left").filter(~F.coalesce(touched, F.lit(False))).select("id", "tie", "start", "end", "gone")
+
+
 def contexts(base: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
     """(id, tie, entity, holders, term, start, end): words near a value that at least `support` documents hold."""
     mentions = base.select("id", "tie", F.explode("spans").alias("s")).select("id", "tie", "s.*")
@@ -114,13 +143,7 @@ def contexts(base: DataFrame, window: int = WINDOW, support: int = SUPPORT) -> D
     private = mentions.filter("holders is not null").select("id", "tie").distinct()
     key = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))
     texts = base.filter("text is not null").dropDuplicates(["id", "tie"]).join(private.select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie")), key, "left_semi")
-    parts = F.arrays_zip(F.split("text", WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("word"))
-    words = texts.select("id", "tie", F.posexplode(parts).alias("i", "p")).filter("p.word is not null")
-    line = Window.partitionBy("id", "tie").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    words = words.select("id", "tie", "i", F.col("p.word").alias("word"), F.sum(F.length("p.gap") + F.length("p.word")).over(line).cast("int").alias("stop"))
-    led = F.length("word") - F.length(F.ltrim("word", F.lit(PUNCTUATION)))
-    core = F.length(F.btrim("word", F.lit(PUNCTUATION)))
-    words = words.select("id", "tie", _core(F.col("word")).alias("term"), (F.col("stop") - F.length("word") + led).alias("start"), (F.col("stop") - F.length("word") + led + core).alias("end"), F.lit(1).alias("is_word"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("long").alias("holders"), F.lit(0).alias("rank"))
+    words = _words(texts).select("*", F.lit(1).alias("is_word"), F.lit(None).cast("string").alias("entity"), F.lit(None).cast("long").alias("holders"), F.lit(0).alias("rank"))
     marks = mentions.join(private.select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie")), key, "left_semi").select("id", "tie", F.lit(None).cast("string").alias("term"), "start", "end", F.lit(0).alias("is_word"), "entity", "holders", "rank")
     order = [F.col("start"), F.col("is_word"), F.col("rank")]
     so_far = Window.partitionBy("id", "tie").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -158,9 +181,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int =
     base = materialise(base.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "base")
     seen = materialise(contexts(base, window, support), "contexts")
     pairs = materialise(disclosing(docs, seen, support), "disclosing")
-    hit = seen.join(_small(pairs, pairs.count()), ["entity", "term"])
+    hit = everywhere(docs, base, pairs)
     term = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.when(F.col("gone"), "gone").otherwise("term").alias("kind"), "end", F.lit(None).cast("string").alias("entity"))
-    terms = hit.groupBy("id", "tie", "start", "end").agg(F.max("whole").alias("gone")).groupBy("id", "tie").agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    terms = hit.groupBy("id", "tie", "start", "end").agg(F.max("gone").alias("gone")).groupBy("id", "tie").agg(F.sort_array(F.collect_list(term)).alias("terms"))
     terms = terms.select(F.col("id").alias("t_id"), F.col("tie").alias("t_tie"), "terms")
     joined = base.join(terms, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("tie") == F.col("t_tie")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,entity:string>>")
@@ -189,7 +212,7 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with the text sanitised; columns, rows and nulls stay."""
     found = find(docs, key, text, **how)
-    found = found.filter(F.size("base") > 0).groupBy(F.col(key).alias("_tm_key"), F.col("tie").alias("_tm_tie")).agg(F.first(F.sort_array(F.concat("base", "terms"))).alias("_tm_spans"))
+    found = found.filter(F.size("base") + F.size("terms") > 0).groupBy(F.col(key).alias("_tm_key"), F.col("tie").alias("_tm_tie")).agg(F.first(F.sort_array(F.concat("base", "terms"))).alias("_tm_spans"))
     same = F.col(key).eqNullSafe(F.col("_tm_key")) & (F.xxhash64(text) == F.col("_tm_tie"))
     joined = docs.join(found, same, "left")
     clean = F.when(F.col("_tm_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_tm_spans")))
