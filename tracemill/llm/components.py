@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import materialise
+from tracemill.llm.shared import materialise, release
 
 
 def components(links: DataFrame, left: str = "x", right: str = "y") -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, left: str = "x", right: str = "y") -> DataFrame
         # Small star: a node and its smaller neighbours move to the smallest of them.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(v.alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v")))
-        edges = materialise(small.filter(u != v).distinct(), "edges")
+        before, edges = edges, materialise(small.filter(u != v).distinct(), "edges")
+        release(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

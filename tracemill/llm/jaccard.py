@@ -1,29 +1,32 @@
-"""N-gram Jaccard join, size-aware: subsets for light sets, inverted lists for heavy ones.
+"""N-gram Jaccard join, size-aware: subsets for light sets, inverted lists of rare shingles for heavy ones.
 
 A text's set holds the hashes of its distinct n-word shingles (of the whole text when it has fewer words). Two sets
 link when their Jaccard similarity is at least num / den. Equal sets are one node; the join runs on nodes.
 
-Signatures. Size classes are laid out by the larger set of a pair; a set takes part in its own class and in those
-where it can be the smaller one. The boundary between light and heavy goes by cost:
-
-* light, as long as a set has at most SUBSETS subsets: a pair of the class shares at least t elements (t the size
-  of the smallest partner), so each set enumerates all its subsets of t elements, and equal subsets meet;
-* heavy: a pair of the class differs in at most k elements. Elements are hashed into k + 1 + spare parts, so that
-  at least 1 + spare parts are the same in both; each part's content is a key of the inverted lists. A part
-  that is empty is no key but in sets with more than `spare` empty parts: if all equal parts of a pair are empty,
-  both sets are such.
-
-Every linking pair thus shares a key, and frequent shingles alone make no lists, as a key is a whole part. Keys
-travel packed by piece and shard, each (key, node) once; keys of one node are dropped in the shard.
-
-Verification. Each node is first compared with the smallest node of the list where it meets it most often; after
-components of these links are known, only pairs of different components that share a list are compared, first
-with each list's smallest node, then all that remain. So a group of near copies costs about a comparison per node,
-and no link between components is lost. Comparisons are exact on whole sets.
+1. Survivors. A node that links shares at least num / den of its elements with others. Pieces of text send their
+   elements, packed by shard, each once (those that several nodes of the piece hold without an owner, so that a
+   frequent shingle is one entry a piece); shards answer how many elements of each node others hold, and nodes with
+   too few are out. Counts may only err upwards.
+2. Keys. Elements of survivors are counted by Spark, and ordered by (count, hash). A heavy set goes into the
+   inverted lists of its rarest elements, as many as it may lack in a partner and one more, so that two linked sets
+   meet in one list at least. A light set enumerates its subsets instead: the larger set of a linked pair has L
+   elements, of which ceil(num * L / den) are common, and equal subsets of so many elements meet. The boundary is
+   the largest size up to which subsets cost no more rows than lists, scanned at their measured mean length.
+3. Stars. Each node is compared with the smallest node of the lists where it meets it most often; components of
+   these links are found.
+4. Open lists, those that hold several components, are scanned in blocks: every node outside a list's main
+   component against all others of different components. A pair is refuted by its sizes, or by sketches: the parity
+   of elements in each of SKETCH buckets differs in no more places than the sets differ in elements. Of what is
+   left, each node names its nearest ones, those pairs are compared exactly, components are joined, and the lists
+   that are still open are scanned again for four times as many, until no pair is left. So neither a group of
+   near copies nor one of near misses is ever written out as pairs of one another but for those that must be compared.
+
+Comparisons are exact on whole sets, and every linking pair that could join two components is compared.
 
 Edge cases: null and empty texts have the empty set and link with nothing; repeated rows are one node; a null id
 counts as absent when the smallest id of a component is taken; rows are told apart by id and hash of the text, so
-null ids and an id of several texts do no harm; an empty table gives no rows.
+null ids and an id of several texts do no harm; other columns, whatever their names, are ignored by clusters() and
+kept by keep_one(); texts of any length are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,14 +41,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
-from tracemill.llm.shared import materialise
+from tracemill.llm.shared import materialise, release, small
 from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_hash
 
 WIDTH, NUM, DEN = 4, 85, 100
-SUBSETS = 200
-#: Bytes of text for each shard of the signatures, and of each piece that packs its own.
-SHARD, CHUNK = 8_000_000, 3_000_000
-BASE = 0xA0761D6478BD642F
+#: Bytes of text for each shard of the elements, and of each piece that packs its own.
+SHARD, CHUNK = 16_000_000, 4_000_000
+#: Subsets that one set may have in memory at once.
+SUBSETS = 2000
+#: Bits of a sketch; rows of a block of an open list, and of a task that takes several lists.
+SKETCH, BLOCK, BIN = 2048, 16_000, 40_000
+#: Owner of an element that several nodes of its piece hold.
+MANY = -1
 
 
 def overlap(total: int, num: int, den: int) -> int:
@@ -53,26 +60,24 @@ def overlap(total: int, num: int, den: int) -> int:
     return -(-num * total // (num + den))
 
 
-@cache
-def classes(num: int, den: int, top: int = 1 << 26):
-    """(low, high, t, parts, spare) by size of the larger set; t > 0: light."""
-    out, low = [], 1
-    while low <= top:
-        t = -(-num * low // den)
-        if len(out) == low - 1 and math.comb(low, t) <= SUBSETS:
-            out.append((low, low, t, 0, 0))
-            low += 1
-            continue
-        high = low * den // num
-        differ = max(s - 2 * overlap(s, num, den) for s in range(2 * high - 6, 2 * high + 1))
-        # Spare parts: as many as will hardly ever be empty in the smallest set.
-        for spare in range(3 * differ + 8):
-            empty = (differ + 1 + spare) * math.exp(-low * num / den / (differ + 1 + spare))
-            if spare >= empty + 3 * math.sqrt(empty):
-                break
-        out.append((low, high, 0, differ + 1 + spare, spare))
-        low = high + 1
-    return tuple(out)
+def prefix(size: int, num: int, den: int) -> int:
+    """Elements of a set of which a linked one has at least one, whichever they are."""
+    return size - -(-num * size // den) + 1
+
+
+def larger(size: int, num: int, den: int) -> range:
+    """Sizes that the larger set of a linked pair with a set of this size may have."""
+    return range(size, size * den // num + 1)
+
+
+def boundary(mean: float, num: int, den: int) -> int:
+    """Largest size up to which subsets make no more rows than lists of this mean length cost."""
+    size = 0
+    while True:
+        rows = sum(math.comb(size + 1, -(-num * top // den)) for top in larger(size + 1, num, den))
+        if rows > min(SUBSETS, prefix(size + 1, num, den) * (1 + mean)):
+            return size
+        size += 1
 
 
 class Sets:
@@ -80,10 +85,10 @@ class Sets:
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray, width: int):
         words = Words(buf, offsets, lower=True)
-        at, hashes = rolled(words.hash, words.bounds, width, BASE)
+        at, hashes = rolled(words.hash, words.bounds, width)
         text = words.texts()[at]
         short = np.flatnonzero((words.counts > 0) & (words.counts < width))
-        whole = spans_hash(words.hash, words.bounds[:-1][short], words.bounds[1:][short], BASE)
+        whole = spans_hash(words.hash, words.bounds[:-1][short], words.bounds[1:][short])
         text, hashes = np.concatenate([text, short]), np.concatenate([hashes, whole])
         order = np.lexsort((hashes, text))
         text, hashes = text[order], hashes[order]
@@ -98,47 +103,8 @@ class Sets:
         pick = lambda c: c[self.begin[1:]] - c[self.begin[:-1]]
         self.node = (mix(pick(total) ^ mix(pick(other) + self.size.astype(U))) >> U(1)).view(np.int64)  # not negative
 
-    def signatures(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """(key, text) of the first text of each node."""
-        layout = classes(num, den)
-        low, high, t, parts, spare = (np.array(x) for x in zip(*layout))
-        first = np.zeros(self.n, bool)
-        first[np.unique(self.node, return_index=True)[1]] = True
-        own = np.searchsorted(low, self.size, "right") - 1
-        keys, owners = [], []
-        ahead = 0
-        while True:
-            cls = np.minimum(own + ahead, len(layout) - 1)
-            fits = first & (self.size > 0) & (own + ahead < len(layout)) & (den * self.size >= num * low[cls])
-            if not fits.any():
-                break
-            for i in np.flatnonzero(fits & (t[cls] > 0) & (self.size >= t[cls])):
-                mine = self.hash[self.begin[i] : self.begin[i + 1]]
-                got = mine[_subsets(len(mine), int(t[cls[i]]))].sum(1, dtype=U)
-                keys.append(mix(got + mix(cls[i : i + 1].astype(U))))
-                owners.append(np.full(len(got), i))
-            heavy = fits & (t[cls] == 0)
-            each = np.where(heavy, parts[cls], 0)
-            base = np.cumsum(each) - each
-            mine = heavy[self.text]
-            text = self.text[mine]
-            group = base[text] + (((self.hash[mine] >> U(33)) * each[text].astype(U)) >> U(31)).astype(np.int64)
-            content = np.zeros(int(each.sum()), U)
-            np.add.at(content, group, self.hash[mine])
-            filled = np.bincount(group, minlength=len(content)) > 0
-            owner = np.repeat(np.arange(self.n), each)
-            bare = np.bincount(owner[~filled], minlength=self.n) > spare[cls]
-            used = filled | bare[owner]
-            part = np.arange(len(content)) - base[owner]
-            keys.append(mix(content + mix((cls[owner].astype(U) << U(40)) + part.astype(U)))[used])
-            owners.append(owner[used])
-            ahead += 1
-        return np.concatenate([*keys, np.zeros(0, U)]), np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64)
-
-
-@cache
-def _subsets(n: int, t: int) -> np.ndarray:
-    return np.array(list(combinations(range(n), t)), np.int64).reshape(-1, t)
+    def parts(self, i: int) -> np.ndarray:
+        return self.hash[self.begin[i] : self.begin[i + 1]]
 
 
 def _summary(width: int):
@@ -152,46 +118,88 @@ def _summary(width: int):
     return run
 
 
-def _packed(width: int, num: int, den: int, shards: int):
+PACK = "shard int, low binary, owner binary, nodes binary"
+
+
+def _packs(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "low", "owner", "nodes"])
+
+
+def _packed(width: int, shards: int):
+    """For each piece and shard: five bytes of each element, its owner's place among the pack's nodes (MANY: several),
+    and the nodes; and once a piece, without elements, how many of each node's elements other nodes of the piece hold."""
+
     def run(batches):
         for batch in batches:
             buf, offsets = column(batch.column(0))
             for a, b in pieces(offsets, CHUNK):
                 sets = Sets(buf, offsets[a : b + 1], width)
-                keys, owner = sets.signatures(num, den)
-                shard = (keys % U(shards)).astype(np.int64)
+                first = np.zeros(sets.n, bool)
+                first[np.unique(sets.node, return_index=True)[1]] = True
+                mine = first[sets.text]
+                hashes, owner = sets.hash[mine], sets.text[mine]
+                if not len(hashes):
+                    continue
+                order = np.argsort(hashes, kind="stable")
+                hashes, owner = hashes[order], owner[order]
+                head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+                times = np.diff(np.concatenate([head, [len(hashes)]]))
+                repeated = np.repeat(times > 1, times)
+                holders = np.flatnonzero(first & (sets.size > 0))
+                local = np.bincount(owner[repeated], minlength=sets.n)[holders]
+                home = int(sets.node[holders[0]] % shards)
+                rows = [(home, b"", local.astype("<i4").tobytes(), sets.node[holders].tobytes())]
+                owner = np.where(times > 1, MANY, owner[head])
+                hashes = hashes[head]
+                shard = (hashes % U(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cut = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = []
-                for s in range(shards):
-                    mine = order[cut[s] : cut[s + 1]]
-                    if len(mine):
-                        nodes, number = np.unique(owner[mine], return_inverse=True)
-                        rows.append((s, keys[mine].tobytes(), number.astype("<u2" if len(nodes) <= 65536 else "<u4").tobytes(), sets.node[nodes].tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "keys", "numbers", "nodes"])
+                low = (hashes >> U(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                for s in np.flatnonzero(np.diff(cut)):
+                    at = order[cut[s] : cut[s + 1]]
+                    known = owner[at] != MANY
+                    nodes, number = np.unique(owner[at][known], return_inverse=True)
+                    place = np.full(len(at), MANY)
+                    place[known] = number
+                    rows.append((int(s), low[at].tobytes(), place.astype("<i2" if len(nodes) < 32768 else "<i4").tobytes(), sets.node[nodes].tobytes()))
+                yield _packs(rows)
 
     return run
 
 
-def _lists(rows: pa.Table) -> pa.Table:
-    """(key, node) of the keys that more than one node of the shard has."""
-    keys, nodes = [], []
+def _shared(rows: pa.Table) -> pa.Table:
+    """(node, n) of a shard: at least how many of its elements here other nodes hold."""
+    low, node, out, counts = [], [], [], []
     for r in rows.to_pylist():
-        got = np.frombuffer(r["keys"], U)
-        keys.append(got)
-        nodes.append(np.frombuffer(r["nodes"], np.int64)[np.frombuffer(r["numbers"], "<u2" if len(r["numbers"]) == 2 * len(got) else "<u4")])
-    keys, nodes = np.concatenate(keys), np.concatenate(nodes)
-    order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
-    again = np.zeros(len(keys), bool)
-    again[1:] = keys[1:] == keys[:-1]
-    again[:-1] |= again[1:].copy()
-    keys, nodes = keys[again], nodes[again]
-    pairs = np.unique(np.stack([keys.view(np.int64), nodes], 1), axis=0) if len(keys) else np.zeros((0, 2), np.int64)
-    key, count = np.unique(pairs[:, 0], return_counts=True)
-    shared = count[np.searchsorted(key, pairs[:, 0])] > 1 if len(pairs) else np.zeros(0, bool)
-    return pa.table({"key": pa.array(pairs[shared, 0]), "node": pa.array(pairs[shared, 1])})
+        nodes = np.frombuffer(r["nodes"], np.int64)
+        if not r["low"]:
+            out.append(nodes)
+            counts.append(np.frombuffer(r["owner"], "<i4").astype(np.int64))
+            continue
+        five = np.frombuffer(r["low"], np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(five), 8), np.uint8)
+        wide[:, :5] = five
+        low.append(wide.view("<u8").reshape(-1))
+        place = np.frombuffer(r["owner"], "<i2" if len(r["owner"]) == 2 * len(five) else "<i4")
+        node.append(np.where(place == MANY, MANY, np.concatenate([nodes, [MANY]])[place]))
+    if low:
+        low, node = np.concatenate(low), np.concatenate(node)
+        order = np.argsort(low, kind="stable")
+        low, node = low[order], node[order]
+        head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        times = np.diff(np.concatenate([head, [len(low)]]))
+        odd = (node == MANY) | (node != np.repeat(node[head], times))
+        held = np.repeat(np.logical_or.reduceat(odd, head), times) & (node != MANY)
+        each, n = np.unique(node[held], return_counts=True)
+        out.append(each)
+        counts.append(n)
+    return pa.table({"node": pa.array(np.concatenate([np.zeros(0, np.int64), *out])), "n": pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64))})
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Parity of the number of elements in each bucket."""
+    bucket = (elements >> U(40)) % U(SKETCH)
+    return np.packbits(np.bincount(bucket.astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
 def _contents(width: int):
@@ -200,61 +208,152 @@ def _contents(width: int):
             buf, offsets = column(batch.column(1))
             for a, b in pieces(offsets):
                 sets = Sets(buf, offsets[a : b + 1], width)
-                raw = [sets.hash[sets.begin[i] : sets.begin[i + 1]].tobytes() for i in range(b - a)]
-                thin = (sets.hash >> U(48)).astype("<u2")
-                shadow = [thin[sets.begin[i] : sets.begin[i + 1]].tobytes() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(raw, pa.binary()), pa.array(shadow, pa.binary())], names=["node", "content", "shadow"])
+                raw = [sets.parts(i).tobytes() for i in range(b - a)]
+                marks = [sketch(sets.parts(i)) for i in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets.size, pa.int64()), pa.array(raw, pa.binary()), pa.array(marks, pa.binary())], names=["node", "size", "content", "sketch"])
 
     return run
 
 
-def _linked(num: int, den: int, kind):
-    """Whether sorted arrays agree enough. Of shadows, the leading 16 bits of each hash, as many agree at least as of
-    the hashes, so a pair that fails on them fails."""
+def _elements(batches):
+    """(node, size, key) of each element."""
+    for batch in batches:
+        flat = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        node = batch.column(0).to_numpy()
+        size = np.array([len(c) // 8 for c in batch.column(1).to_pylist()], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size)), pa.array(flat)], names=["node", "size", "key"])
+
+
+@cache
+def _subsets(n: int, t: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), t)), np.int64).reshape(-1, t)
+
+
+def _light(top: int, num: int, den: int):
+    """(key, node) of the subsets of sets of at most `top` elements."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine = np.frombuffer(raw, U)
+                for size in larger(len(mine), num, den):
+                    if size <= top:
+                        got = mine[_subsets(len(mine), -(-num * size // den))].sum(1, dtype=U)
+                        keys.append(mix(got + mix(np.full(1, size, U))))
+                        nodes.append(np.full(len(got), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], names=["key", "node"])
+
+    return run
+
 
+def meetings(contents: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(key, node) of the lists and subsets that more than one node has; and (key, x): the smallest node of each."""
+    elements = materialise(contents.select("node", "content").mapInArrow(_elements, "node long, size long, key long"), "elements")
+    counts = materialise(elements.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
+    rows, squares = counts.agg(F.sum("df"), F.sum(F.col("df") * F.col("df"))).first()
+    top = boundary(squares / rows if rows else 0.0, num, den)
+    least = -(-num * (top + 1) // den)  # smaller sets have no heavy partner
+    rare = F.sort_array(F.collect_list(F.struct("df", "key"))).alias("rare")
+    shared = elements.filter(F.col("size") >= least).join(counts, "key").groupBy("node", "size").agg(rare)
+    # Elements that no other survivor holds come first in the order and make no list.
+    wanted = F.col("size") - F.ceil(F.col("size") * num / F.lit(den)) + 1 - (F.col("size") - F.size("rare"))
+    heavy = shared.filter(wanted > 0).select("node", F.explode(F.slice("rare", F.lit(1), wanted.cast("int"))).alias("r")).select("r.key", "node")
+    light = contents.filter(F.col("size") <= top).select("node", "content").mapInArrow(_light(top, num, den), "key long, node long")
+    lists = materialise(heavy.unionByName(light), "lists")
+    release(elements, counts)
+    pivots = materialise(lists.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key", "x"), "pivots")
+    return lists, pivots
+
+
+def _linked(num: int, den: int):
     def run(batches):
         for batch in batches:
             hits = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
-                both = np.concatenate([x, y])
-                if kind == U:
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                else:
-                    # Equal shadows pair up by their numbers.
-                    common = int(np.minimum(np.bincount(x, minlength=1 << 16), np.bincount(y, minlength=1 << 16)).sum()) if len(both) > 4096 else _common(x, y)
+                both = np.concatenate([np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
                 hits.append(den * common >= num * (len(both) - common))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(hits, pa.bool_())], names=["x", "y", "linked"])
 
     return run
 
 
-def _common(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted multisets: the k-th of a value in one meets the k-th in the other."""
-    nth = lambda v: np.arange(len(v)) - np.searchsorted(v, v)
-    return len(np.intersect1d(x.astype(np.int64) << 20 | nth(x), y.astype(np.int64) << 20 | nth(y), assume_unique=True))
-
-
-def _compared(pairs: DataFrame, contents: DataFrame, num: int, den: int, column: str, kind) -> DataFrame:
-    left = contents.select(F.col("node").alias("x"), F.col(column).alias("cx"))
-    right = contents.select(F.col("node").alias("y"), F.col(column).alias("cy"))
+def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
+    """(x, y) of the pairs that link, by their whole sets."""
+    left = contents.select(F.col("node").alias("x"), F.col("content").alias("cx"))
+    right = contents.select(F.col("node").alias("y"), F.col("content").alias("cy"))
     both = pairs.join(left, "x").join(right, "y").select("x", "y", "cx", "cy")
-    return both.mapInArrow(_linked(num, den, kind), "x long, y long, linked boolean").filter("linked").select("x", "y")
+    return both.mapInArrow(_linked(num, den), "x long, y long, linked boolean").filter("linked").select("x", "y")
+
+
+def candidates(root: np.ndarray, size: np.ndarray, marks: np.ndarray, ask: np.ndarray, hold: np.ndarray, num: int, den: int, limit: int):
+    """(x, y) of places: of those in `hold` that each of `ask` may link with in another component, the nearest `limit`;
+    and whether there are more."""
+    xs, ys, more = [], [], False
+    step = max(1, 2_000_000 // max(1, len(hold)))
+    for at in range(0, len(ask), step):
+        mine = ask[at : at + step]
+        low, high = np.minimum(size[mine][:, None], size[hold]), np.maximum(size[mine][:, None], size[hold])
+        i, j = np.nonzero((root[mine][:, None] != root[hold]) & (den * low >= num * high))
+        differ = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(marks[mine[i[c : c + 50_000]]] ^ marks[hold[j[c : c + 50_000]]]).sum(1, dtype=np.int64) for c in range(0, len(i), 50_000))])
+        total = size[mine[i]] + size[hold[j]]
+        may = differ <= total - 2 * -(-num * total // (num + den))
+        i, j, differ = i[may], j[may], differ[may]
+        order = np.lexsort((j, differ, i))
+        i, j = i[order], j[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        more |= bool((nth >= limit).any())
+        xs.append(mine[i[nth < limit]])
+        ys.append(hold[j[nth < limit]])
+    return np.concatenate([np.zeros(0, int), *xs]), np.concatenate([np.zeros(0, int), *ys]), more
+
+
+def _scanned(num: int, den: int, limit: int):
+    """(x, y) that a task's lists leave to compare; (-1, -1) when there are more."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows["key"].to_numpy(), kind="stable")
+        rows = rows.take(pa.array(order)).combine_chunks()
+        key, node, root, main, size, role = (rows[c].to_numpy() for c in ("key", "node", "root", "main", "size", "role"))
+        marks = np.frombuffer(b"".join(rows["sketch"].to_pylist()), U).reshape(len(key), -1)
+        found, more = [np.zeros((0, 2), np.int64)], False
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        for a, b in zip(cut[:-1], cut[1:]):
+            part = np.arange(a, b)
+            ask = part[(role[part] == 1) | ((role[part] == 2) & (root[part] != main[part]))]
+            x, y, left = candidates(root, size, marks, ask, part[role[part] != 1], num, den, limit)
+            more |= left
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1))
+        pairs = np.unique(np.concatenate([*found, np.full((int(more), 2), -1)]), axis=0)
+        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
 
+    return run
 
-def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int, many: bool = False) -> DataFrame:
-    """(x, y) of the pairs that link, by their whole sets.
 
-    Pairs whose sizes rule a link out go first; where they are many, shadows of a quarter of the size rule out most
-    of the rest before whole sets are moved.
-    """
-    size = lambda c: contents.select(F.col("node").alias(c), (F.length("content") / 8).alias(f"s{c}"))
-    low, high = F.least("sx", "sy"), F.greatest("sx", "sy")
-    pairs = pairs.join(size("x"), "x").join(size("y"), "y").filter(den * low >= num * high).select("x", "y")
-    if many:
-        pairs = materialise(_compared(pairs, contents, num, den, "shadow", np.dtype("<u2")), "near")
-    return _compared(pairs, contents, num, den, "content", U)
+def open_pairs(lists: DataFrame, roots: DataFrame, marks: DataFrame, num: int, den: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The lists that hold several components, and (x, y) of their nodes of different ones that may link."""
+    rooted = materialise(lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    by = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
+    several = materialise(by.agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "open")
+    rows = several.agg(F.sum("total")).first()[0] or 0
+    members = rooted.join(several, "key").join(marks, "node")
+    holds, asks = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int"), F.ceil((F.col("total") - F.col("most")) / F.lit(BLOCK)).cast("int")
+    members = members.withColumn("holds", holds).withColumn("asks", asks).withColumn("own", F.xxhash64("node"))
+    slot = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
+    # A list of one block is a part of its bin's task; of longer ones, each block meets each block of nodes that ask.
+    held = F.transform(F.sequence(F.lit(0), F.col("asks") - 1), lambda j: slot(F.pmod("own", "holds"), j, 0))
+    asked = F.transform(F.sequence(F.lit(0), F.col("holds") - 1), lambda i: slot(i, F.pmod(F.xxhash64("own"), "asks"), 1))
+    none = F.array().cast("array<struct<i:int,j:int,role:int>>")
+    slots = F.when(F.col("holds") * F.col("asks") == 1, F.array(slot(F.lit(0), F.lit(0), 2))).otherwise(F.concat(held, F.when(F.col("root") != F.col("main"), asked).otherwise(none)))
+    bins = 1 + rows // BIN
+    tasks = members.withColumn("slot", F.explode(slots)).select("key", "node", "root", "main", "size", "sketch", F.col("slot.i").alias("i"), F.col("slot.j").alias("j"), F.col("slot.role").alias("role"))
+    tasks = tasks.withColumn("bin", F.when(F.col("role") == 2, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")))
+    found = materialise(tasks.groupBy("bin", "i", "j").applyInArrow(_scanned(num, den, limit), "x long, y long").distinct(), "candidates")
+    kept = materialise(rooted.select("key", "node").join(several.select("key"), "key"), "lists")
+    release(rooted, several)
+    return kept, found
 
 
 def _tie(text: str) -> Column:
@@ -268,61 +367,67 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     shards = 1 + (raw.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD
     kind = docs.schema[key].dataType.simpleString()
     summary = materialise(raw.mapInArrow(_summary(width), f"id {kind}, n_shingles long, node long, tie long"), "sets")
-    packed = raw.select("text").mapInArrow(_packed(width, num, den, shards), "shard int, keys binary, numbers binary, nodes binary")
-    lists = materialise(packed.groupBy("shard").applyInArrow(_lists, "key long, node long"), "lists")
-    pivots = lists.groupBy("key").agg(F.min("node").alias("x"))
-    stars = materialise(lists.join(pivots, "key").filter("node <> x").groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("met")), "stars")
-    # One text of each node that is in a list.
-    holders = summary.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "tie")).alias("h"))
-    holders = holders.select("node", F.col("h.id").alias("h_id"), F.col("h.tie").alias("h_tie"))
-    texts = raw.join(holders, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))).select("node", "text")
-    contents = materialise(texts.mapInArrow(_contents(width), "node long, content binary, shadow binary").dropDuplicates(["node"]), "contents")
-    best = stars.groupBy("y").agg(F.max_by("x", F.struct("met", -F.col("x"))).alias("x")).select("x", "y")
+    shared = raw.select("text").mapInArrow(_packed(width, shards), PACK).groupBy("shard").applyInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    nodes = summary.filter("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min(F.struct("id", "tie")).alias("h"))
+    # One text of each survivor.
+    survivors = materialise(nodes.join(shared, "node").filter(F.col("n") * den >= F.col("size") * num).select("node", F.col("h.id").alias("h_id"), F.col("h.tie").alias("h_tie")), "survivors")
+    texts = raw.join(small(survivors), F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))).select("node", "text")
+    contents = materialise(texts.mapInArrow(_contents(width), "node long, size long, content binary, sketch binary").dropDuplicates(["node"]), "contents")
+    lists, pivots = meetings(contents, num, den)
+    stars = lists.join(pivots, "key").filter("node <> x").groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("met"))
+    best = materialise(stars.groupBy("y").agg(F.max_by("x", F.struct("met", -F.col("x"))).alias("x")).select("x", "y"), "stars")
     links = materialise(verify(best, contents, num, den), "links")
     roots = materialise(components(links), "roots")
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        joined = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
-        return joined.filter(F.coalesce("rx", "x") != F.coalesce("ry", "y")).select("x", "y")
-
-    done = best
-    more = materialise(apart(stars.select("x", "y").join(best, ["x", "y"], "left_anti")), "more")
-    if not more.isEmpty():
-        links = materialise(links.union(verify(more, contents, num, den, many=True)), "links")
-        roots = materialise(components(links), "roots")
-        done = done.union(more)
-    # Lists that still hold several components: whatever is left to compare in them.
-    rooted = lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    open_lists = rooted.join(open_keys, "key", "left_semi")
-    left = open_lists.select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    right = open_lists.select("key", F.col("node").alias("y"), F.col("root").alias("ry"))
-    rest = left.join(right, "key").filter("x < y and rx <> ry").select("x", "y").distinct()
-    rest = materialise(rest.join(done.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = materialise(links.union(verify(rest, contents, num, den, many=True)), "links")
-        roots = materialise(components(links), "roots")
+    done = materialise(best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "done")
+    release(survivors, pivots, best)
+    limit = 1
+    while True:
+        kept, found = open_pairs(lists, roots, contents.select("node", "size", "sketch"), num, den, limit)
+        fresh = materialise(found.filter("x >= 0").join(done, ["x", "y"], "left_anti"), "fresh")
+        more = not found.filter("x < 0").isEmpty()
+        release(lists, found)
+        lists, none = kept, fresh.isEmpty()
+        if none and not more:
+            release(lists, fresh, done, contents)
+            break
+        if not none:
+            new = verify(fresh, contents, num, den)
+            before = (links, roots, done)
+            links = materialise(links.union(new), "links")
+            done = materialise(done.union(fresh), "done")
+            roots = materialise(components(links), "roots")
+            release(*before)
+        release(fresh)
+        limit *= 4
+    release(links)
     named = summary.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    named = materialise(named, "named")
     final = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(final, "root").select("node", "component", "root")
-    out = summary.join(named, "node")
-    return out.select(F.col("id").alias(key), "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component"), "root", "tie")
+    out = summary.join(named.join(final, "root").select("node", "component", "root"), "node")
+    out = materialise(out.select(F.col("id").alias(key), "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component")).alias("component"), "root", "tie"), "clusters")
+    release(summary, roots, named)
+    return out
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without those that another of their component stands for: the smallest key's first row stays, one of a null key only
-    where no other is."""
-    found = clusters(docs, key, text, **how).select(F.col(key).alias("_tm_key"), F.col("tie").alias("_tm_tie"), "root", "n_shingles")
-    found = materialise(found, "found")
-    first = F.min(F.struct(F.col("_tm_key").isNull().alias("null"), "_tm_key", "_tm_tie")).alias("first")
-    stays = found.filter("n_shingles > 0").groupBy("root").agg(first).select("first._tm_key", "first._tm_tie", F.lit(False).alias("_tm_alone"))
-    stays = stays.unionByName(found.filter("n_shingles = 0").select("_tm_key", "_tm_tie", F.lit(True).alias("_tm_alone")).distinct())
-    kept = docs.join(stays, F.col(key).eqNullSafe(F.col("_tm_key")) & (_tie(text) == F.col("_tm_tie")))
-    twin = Window.partitionBy("_tm_key", "_tm_tie").orderBy(F.lit(0))
-    kept = kept.withColumn("_tm_row", F.row_number().over(twin))
-    return kept.filter((F.col("_tm_row") == 1) | F.col("_tm_alone")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    where no other is. Rows without words stay."""
+    found = clusters(docs, key, text, **how)
+    rows = materialise(found.filter("n_shingles > 0").groupBy(F.col(key).alias("k_key"), F.col("tie").alias("k_tie"), "root").agg(F.count("*").alias("twins")), "rows")
+    first = F.min(F.struct(F.col("k_key").isNull().alias("null"), "k_key", "k_tie")).alias("first")
+    groups = materialise(rows.groupBy("root").agg(first, F.count("*").alias("n")).filter("n > 1").select("root", "first"), "groups")
+    stays = F.col("k_key").eqNullSafe(F.col("first.k_key")) & (F.col("k_tie") == F.col("first.k_tie"))
+    gone = rows.join(groups, "root").filter(~stays).select("k_key", "k_tie")
+    twins = rows.join(groups, "root", "left").filter("twins > 1").filter(F.col("first").isNull() | stays).select("k_key", "k_tie")
+    gone, twins = materialise(gone, "gone"), materialise(twins, "twins")
+    release(found, rows, groups)
+    same = F.col(key).eqNullSafe(F.col("k_key")) & (_tie(text) == F.col("k_tie"))
+    alone = docs.join(small(gone.unionByName(twins)), same, "left_anti")
+    # Of rows that repeat key and text, one stays.
+    both = docs.join(small(twins), same)
+    twin = Window.partitionBy("k_key", "k_tie").orderBy(F.lit(0))
+    one = both.withColumn("_tm_row", F.row_number().over(twin)).filter("_tm_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(one)
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

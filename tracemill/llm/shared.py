@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracemill.session import ship
 
@@ -16,9 +17,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a folder of its own is set."""
+    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a folder of its own is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -55,5 +58,14 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of keys that may be sent to all executors; each is a few numbers, so a few MB in all.
+SMALL = 100_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if its rows, now counted, are at most SMALL; else joined by shuffle."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.shared import materialise, release
-from tracemill.llm.tokens import U, Words, column, mix, pieces, powers, rolled, spans_hash
+from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_hash
 
 WINDOW = 50
 LEAST = 6
@@ -110,7 +110,7 @@ def _covered(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def _windows(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, hash and check of each window."""
     at, first = rolled(words.hash, words.bounds, window)
-    _, second = rolled(words.hash, words.bounds, window, base=0xE7037ED1A0B428DB)
+    _, second = rolled(words.hash, words.bounds, window, seed=1)
     return at, first.view(np.int64), (second >> U(33)).astype(np.int32)
 
 
@@ -129,7 +129,7 @@ def _survey(window: int):
                 at = rolled(words.hash, words.bounds, window)[0]
                 closed = _covered(len(words.hash), hi - window, lo + 1)
                 opened = np.bincount(words.texts()[at[~closed[at]]], minlength=b - a) > 0
-                total = spans_hash(words.hash, words.bounds[:-1], words.bounds[1:], base=0x8CB92BA72F3D8DD7)
+                total = spans_hash(words.hash, words.bounds[:-1], words.bounds[1:], seed=2)
                 texts = [bytes(buf[offsets[i] : offsets[i + 1]]).split() for i in range(a, b)]
                 digest = [hashlib.sha256(b" ".join(t)).hexdigest() for t in texts]
                 yield pa.RecordBatch.from_arrays(

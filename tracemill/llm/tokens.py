@@ -1,9 +1,9 @@
 """Words of many texts at once in numpy: positions and 64-bit content hashes without a Python object per word.
 
 Texts come as one buffer of UTF-8 bytes and offsets, as Arrow holds a binary column. Words are runs of bytes
-other than blank and the controls 9 to 13, which are never part of a longer UTF-8 character. A word's hash is a
-polynomial over random 64-bit values of its bytes, modulo 2^64, with a finaliser; equal words have equal hashes
-everywhere, and different ones differ but for odds of about 2^-60 a pair.
+other than blank and the controls 9 to 13, which are never part of a longer UTF-8 character. A word's hash adds up
+a mixed 64-bit value of each (place, byte); equal words have equal hashes everywhere, and different ones differ but
+for odds of about 2^-64 a pair. Runs of words are named by halves, each name a mix of the names of its halves.
 """
 
 from __future__ import annotations
@@ -30,35 +30,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-BASE = 0xD1342543DE82EF95
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and its inverse, modulo 2^64, for i < n at least."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(1 << 12, 1 << (n - 1).bit_length())
-        inverse = pow(base, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            have = np.empty((size, 2), U)
-            have[0] = 1
-            done = 1
-            while done < size:
-                step = np.array([pow(base, done, 1 << 64), pow(inverse, done, 1 << 64)], U)
-                have[done : 2 * done] = have[:done] * step
-                done *= 2
-        have = np.ascontiguousarray(have.T)
-        _powers[base] = have = have.T
-    return have[:, 0], have[:, 1]
-
-
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """Hash of values[start:end] for each pair, the same wherever the run stands."""
-    power, inverse = powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, U)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+#: Odd steps that set places, lengths and halves apart before they are mixed.
+STEP, LENGTH, HALF = U(0xD1342543DE82EF95), U(0x8CB92BA72F3D8DD7), U(0xA0761D6478BD642F)
+
+
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of values[start:end] for each pair, the same wherever the run stands.
+
+    The sum of a mixed value for each (place, value): places are not tied to each other by powers of a base, so no
+    regular sequence cancels out.
+    """
+    lens = ends - starts
+    before = np.cumsum(lens) - lens
+    place = np.arange(int(lens.sum()))
+    at = place + np.repeat(starts - before, lens)
+    place = place - np.repeat(before, lens)
+    total = np.zeros(len(place) + 1, U)
+    np.cumsum(mix(values[at] + (place.astype(U) + U(1 + seed)) * STEP), out=total[1:])
+    return mix(total[before + lens] - total[before] + lens.astype(U) * LENGTH)
 
 
 def column(array) -> tuple[np.ndarray, np.ndarray]:
@@ -113,12 +102,25 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
-def rolled(values: np.ndarray, bounds: np.ndarray, width: int, base: int = 0xA0761D6478BD642F) -> tuple[np.ndarray, np.ndarray]:
-    """(position, hash) of all windows of `width` values that lie in one text; bounds as in Words."""
+def rolled(values: np.ndarray, bounds: np.ndarray, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of all windows of `width` values that lie in one text; bounds as in Words.
+
+    Runs of 1, 2, 4, ... values get names from those of their halves; a window's name is made of the runs that its
+    length in binary asks for.
+    """
     n = len(values)
     if n < width:
         return np.zeros(0, np.int64), np.zeros(0, U)
     counts = np.diff(bounds)
     left = np.repeat(bounds[1:], counts) - np.arange(n)  # values to the end of the text
     at = np.flatnonzero(left >= width)
-    return at, spans_hash(values, at, at + width, base)
+    names, size, done = mix(values + U(2 * seed + 1) * HALF), 1, 0
+    out = np.zeros(len(at), U)
+    while size <= width:
+        if width & size:
+            out = mix(out * STEP + names[at + done])
+            done += size
+        if 2 * size <= width:
+            names = mix(names[: len(names) - size] * HALF + names[size:])
+        size *= 2
+    return at, out
