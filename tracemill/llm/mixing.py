@@ -6,7 +6,7 @@ and the seed gives, and a document is emitted once for each integer that its ste
 in the order are of nearly the same size, the words taken come within about the largest document of the
 target.
 
-The prefix sum needs no task that sees a whole source: rows are range-partitioned by (source, size, id),
+Sources are few: their sizes and targets are one row each, and one task shares them out. The prefix sum needs no task that sees a whole source: rows are range-partitioned by (source, size, id),
 each partition counts its rows by source, and a rank is the count in earlier partitions plus the rank
 in its own.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import WORD, materialise, partitions
+from tracemill.llm.shared import WORD, materialise, partitions, release
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -54,12 +54,16 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     )
 
 
-def plan(docs: DataFrame, key: str = "doc_id", seed: str = SEED, **ratio) -> DataFrame:
-    """(key, tie, source, size, source_size, target, copies) of each document; tie tells rows of one key apart."""
+def plan(docs: DataFrame, key: str = "doc_id", seed: str = SEED, used: list | None = None, **ratio) -> DataFrame:
+    """(key, tie, source, size, source_size, target, copies) of each document; tie tells rows of one key apart. The table
+    that the result reads is added to `used`."""
     n = partitions(docs.sparkSession)
     sizes = materialise(docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("tie"), "source", word_count(F.col("text")).alias("size")), "sizes")
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("key"), F.col("tie")]
     ranged = materialise(sizes.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "ranged")
+    release(sizes)
+    if used is not None:
+        used.append(ranged)
     by_part = ranged.groupBy("part", "source").agg(F.count("*").alias("rows"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select(F.col("part").alias("o_part"), F.col("source").alias("o_source"), F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
@@ -81,12 +85,15 @@ def plan(docs: DataFrame, key: str = "doc_id", seed: str = SEED, **ratio) -> Dat
 def mix(docs: DataFrame, key: str = "doc_id", seed: str = SEED, **ratio) -> DataFrame:
     """The mix itself: every row of docs as often as its copies say, columns unchanged.
 
-    Rows that agree in key, source and text are interchangeable, so their copies are summed and dealt to them
-    in turn.
+    Rows that agree in key, source and text get the copies of their number among them, which goes by a hash of all
+    columns, so that reruns agree.
     """
-    planned = plan(docs, key, seed, **ratio).select(F.col("key").alias("_tm_key"), F.col("tie").alias("_tm_tie"), F.col("source").alias("_tm_source"), F.col("copies").alias("_tm_copies"))
-    counts = planned.groupBy("_tm_key", "_tm_tie", "_tm_source").agg(F.collect_list("_tm_copies").alias("_tm_copies"))
-    twin = Window.partitionBy(F.col(key), F.xxhash64("text"), F.col("source")).orderBy(F.lit(0))
+    used: list[DataFrame] = []
+    planned = plan(docs, key, seed, used, **ratio).select(F.col("key").alias("_tm_key"), F.col("tie").alias("_tm_tie"), F.col("source").alias("_tm_source"), F.col("copies").alias("_tm_copies"))
+    counts = planned.groupBy("_tm_key", "_tm_tie", "_tm_source").agg(F.sort_array(F.collect_list("_tm_copies")).alias("_tm_copies"))
+    counts = materialise(counts, "copies")
+    release(*used)
+    twin = Window.partitionBy(F.col(key), F.xxhash64("text"), F.col("source")).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     numbered = docs.withColumn("_tm_row", F.row_number().over(twin))
     same = F.col(key).eqNullSafe(F.col("_tm_key")) & (F.xxhash64("text") == F.col("_tm_tie")) & F.col("source").eqNullSafe(F.col("_tm_source"))
     joined = numbered.join(counts, same).withColumn("_tm_times", F.element_at("_tm_copies", F.col("_tm_row")).cast("int"))

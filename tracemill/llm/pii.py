@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import WORD, materialise
+from tracemill.llm.shared import WORD, materialise, release
 
 KINDS = ("email", "ip", "card", "phone")
 #: \G: a match may also begin where the last one of its kind ended.
@@ -118,13 +118,16 @@ def _words(texts: DataFrame) -> DataFrame:
     return words.select("id", "tie", _core(F.col("word")).alias("term"), (F.col("stop") - F.length("word") + led).alias("start"), (F.col("stop") - F.length("word") + led + core).alias("end"))
 
 
-def everywhere(docs: DataFrame, base: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, tie, start, end, gone) of all words of whole texts that are disclosing terms and touch no base span."""
+def everywhere(docs: DataFrame, base: DataFrame, pairs: DataFrame, used: list) -> DataFrame:
+    """(id, tie, start, end, gone) of all words of whole texts that are disclosing terms and touch no base span; the
+    tables that it reads are added to `used`."""
     terms = materialise(pairs.groupBy("term").agg(F.max("whole").alias("gone")), "terms")
+    used.append(terms)
     terms = _small(terms, terms.count())
     cores = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), _core))
     holding = docs.select("id", "tie", F.explode(cores).alias("term")).join(terms, "term", "left_semi")
     holding = materialise(holding.select(F.col("id").alias("k_id"), F.col("tie").alias("k_tie")).distinct(), "holding")
+    used.append(holding)
     same = F.col("id").eqNullSafe(F.col("k_id")) & (F.col("tie") == F.col("k_tie"))
     keys = _small(holding, holding.count())
     texts = docs.join(keys, same, "left_semi").dropDuplicates(["id", "tie"])
@@ -173,18 +176,22 @@ def disclosing(docs: DataFrame, seen: DataFrame, support: int = SUPPORT) -> Data
     return kept.select("entity", "term", (F.col("joint") >= F.col("spread")).alias("whole"))
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT) -> DataFrame:
-    """(key, tie, base, terms): base spans, and spans of disclosing terms, of each row."""
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, support: int = SUPPORT, used: list | None = None) -> DataFrame:
+    """(key, tie, base, terms): base spans, and spans of disclosing terms, of each row; the tables that it reads are added
+    to `used`."""
+    done, used = [], [] if used is None else used
     docs = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # Only texts with spans go along: the rest is read once and never shuffled.
     base = docs.select("id", "tie", base_spans(F.col("text")).alias("spans"), "text")
     base = materialise(base.withColumn("text", F.when(F.size("spans") > 0, F.col("text"))), "base")
     seen = materialise(contexts(base, window, support), "contexts")
     pairs = materialise(disclosing(docs, seen, support), "disclosing")
-    hit = everywhere(docs, base, pairs)
+    hit = everywhere(docs, base, pairs, done)
     term = F.struct("start", F.lit(len(KINDS)).alias("rank"), F.when(F.col("gone"), "gone").otherwise("term").alias("kind"), "end", F.lit(None).cast("string").alias("entity"))
     terms = hit.groupBy("id", "tie", "start", "end").agg(F.max("gone").alias("gone")).groupBy("id", "tie").agg(F.sort_array(F.collect_list(term)).alias("terms"))
-    terms = terms.select(F.col("id").alias("t_id"), F.col("tie").alias("t_tie"), "terms")
+    terms = materialise(terms.select(F.col("id").alias("t_id"), F.col("tie").alias("t_tie"), "terms"), "marked")
+    release(seen, pairs, *done)
+    used += [base, terms]
     joined = base.join(terms, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("tie") == F.col("t_tie")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,entity:string>>")
     return joined.select(F.col("id").alias(key), "tie", F.col("spans").alias("base"), F.coalesce("terms", none).alias("terms"))
@@ -211,8 +218,11 @@ def redact(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with the text sanitised; columns, rows and nulls stay."""
-    found = find(docs, key, text, **how)
+    used: list[DataFrame] = []
+    found = find(docs, key, text, used=used, **how)
     found = found.filter(F.size("base") + F.size("terms") > 0).groupBy(F.col(key).alias("_tm_key"), F.col("tie").alias("_tm_tie")).agg(F.first(F.sort_array(F.concat("base", "terms"))).alias("_tm_spans"))
+    found = materialise(found, "spans")
+    release(*used)
     same = F.col(key).eqNullSafe(F.col("_tm_key")) & (F.xxhash64(text) == F.col("_tm_tie"))
     joined = docs.join(found, same, "left")
     clean = F.when(F.col("_tm_spans").isNull(), F.col(text)).otherwise(redact(F.col(text), F.col("_tm_spans")))
