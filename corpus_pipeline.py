@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm import jaccard, mixing, pieces, pii, toxicity
-from tracemill.llm.shared import materialise, prepare
+from tracemill.llm.shared import materialise, prepare, release
 
 SHINGLE, NUM, DEN = 5, 80, 100
 
@@ -62,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            release(before)
     return stage_pieces(spark, docs, sf_dir)
