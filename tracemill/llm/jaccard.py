@@ -46,7 +46,7 @@ from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_ha
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: Bytes of text for each shard of the elements, and of each piece that packs its own.
-SHARD, CHUNK = 16_000_000, 4_000_000
+SHARD, CHUNK = 6_000_000, 2_000_000
 #: Subsets that one set may have in memory at once.
 SUBSETS = 2000
 #: Bits of a sketch; rows of a block of an open list, and of a task that takes several lists.
@@ -170,17 +170,17 @@ def _packed(width: int, shards: int):
 def _shared(rows: pa.Table) -> pa.Table:
     """(node, n) of a shard: at least how many of its elements here other nodes hold."""
     low, node, out, counts = [], [], [], []
-    for r in rows.to_pylist():
-        nodes = np.frombuffer(r["nodes"], np.int64)
-        if not r["low"]:
+    for lows, owners, held in zip(*(rows[c].combine_chunks() for c in ("low", "owner", "nodes"))):
+        lows, owners, nodes = lows.as_buffer(), owners.as_buffer(), np.frombuffer(held.as_buffer(), np.int64)
+        if not lows.size:
             out.append(nodes)
-            counts.append(np.frombuffer(r["owner"], "<i4").astype(np.int64))
+            counts.append(np.frombuffer(owners, "<i4").astype(np.int64))
             continue
-        five = np.frombuffer(r["low"], np.uint8).reshape(-1, 5)
+        five = np.frombuffer(lows, np.uint8).reshape(-1, 5)
         wide = np.zeros((len(five), 8), np.uint8)
         wide[:, :5] = five
         low.append(wide.view("<u8").reshape(-1))
-        place = np.frombuffer(r["owner"], "<i2" if len(r["owner"]) == 2 * len(five) else "<i4")
+        place = np.frombuffer(owners, "<i2" if owners.size == 2 * len(five) else "<i4")
         node.append(np.where(place == MANY, MANY, np.concatenate([nodes, [MANY]])[place]))
     if low:
         low, node = np.concatenate(low), np.concatenate(node)

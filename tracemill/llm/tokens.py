@@ -23,31 +23,48 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: a bijection of 64-bit values whose output bits each depend on all input bits."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> U(27))
-    x = x * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
 #: Odd steps that set places, lengths and halves apart before they are mixed.
 STEP, LENGTH, HALF = U(0xD1342543DE82EF95), U(0x8CB92BA72F3D8DD7), U(0xA0761D6478BD642F)
+#: Values are hashed so many at a time, which bounds memory and stays in the cache.
+BLOCK = 1 << 16
+#: The mixed values of (place, byte) for the first places.
+PLACES = 64
+TABLE = mix(np.tile(BYTES, PLACES) + np.repeat(np.arange(1, PLACES + 1, dtype=U) * STEP, 256))
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of values[start:end] for each pair, the same wherever the run stands.
+def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, bytewise: bool = False) -> np.ndarray:
+    """Hash of values[start:end] for each pair, the same wherever the run stands; bytewise: values are bytes.
 
     The sum of a mixed value for each (place, value): places are not tied to each other by powers of a base, so no
     regular sequence cancels out.
     """
     lens = ends - starts
-    before = np.cumsum(lens) - lens
-    place = np.arange(int(lens.sum()))
-    at = place + np.repeat(starts - before, lens)
-    place = place - np.repeat(before, lens)
-    total = np.zeros(len(place) + 1, U)
-    np.cumsum(mix(values[at] + (place.astype(U) + U(1 + seed)) * STEP), out=total[1:])
-    return mix(total[before + lens] - total[before] + lens.astype(U) * LENGTH)
+    out = lens.astype(U) * LENGTH
+    stops = np.cumsum(lens)
+    first = 0
+    while first < len(lens):
+        before = int(stops[first] - lens[first])
+        last = max(first + 1, int(np.searchsorted(stops, before + BLOCK, "right")))
+        size, begin = lens[first:last], stops[first:last] - lens[first:last] - before
+        place = np.arange(int(stops[last - 1]) - before) - np.repeat(begin, size)
+        value = values[place + np.repeat(starts[first:last], size)]
+        if bytewise and size.max() <= PLACES:
+            mixed = TABLE[place * 256 + value]
+        else:
+            mixed = mix((BYTES[value] if bytewise else value) + (place.astype(U) + U(1 + seed)) * STEP)
+        total = np.zeros(len(place) + 1, U)
+        np.cumsum(mixed, out=total[1:])
+        out[first:last] += total[begin + size] - total[begin]
+        first = last
+    return mix(out)
 
 
 def column(array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,7 +112,7 @@ class Words:
         self.bounds = np.searchsorted(self.starts, offsets)  # words of text i: bounds[i]:bounds[i + 1]
         self.counts = np.diff(self.bounds)
         if hashes:
-            self.hash = spans_hash(BYTES[raw], self.starts, self.ends)
+            self.hash = spans_hash(raw, self.starts, self.ends, bytewise=True)
 
     def texts(self) -> np.ndarray:
         """Index of each word's text."""

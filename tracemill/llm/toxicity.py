@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.tokens import Words, column, mix, pieces, spans_hash
+from tracemill.llm.tokens import STEP, Words, column, mix, pieces, spans_hash
 
 #: The embedding table has 2^BITS rows.
 BITS = 17
@@ -50,11 +50,14 @@ def subwords(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     values = mix(chars.astype(np.uint64) + np.uint64(1))
     ends_at = np.flatnonzero(mark)
     owner, bucket = [np.arange(len(lens))], [spans_hash(values, ends_at[:-1], ends_at[1:] + 1)]
-    for k in range(SHORTEST, LONGEST + 1):
-        at = np.arange(max(0, len(chars) - k + 1))
-        at = at[passed[at + k - 2] == passed[at]]  # no mark but at its ends
-        owner.append(passed[at] - 1)
-        bucket.append(spans_hash(values, at, at + k))
+    # The name of an n-gram comes from that of its beginning and its last character.
+    names = values
+    for k in range(2, LONGEST + 1):
+        names = mix(names[:-1] * STEP + values[k - 1 :])
+        if k >= SHORTEST:
+            at = np.flatnonzero(passed[k - 2 : len(chars) - 1] == passed[: len(names)])  # no mark but at its ends
+            owner.append(passed[at] - 1)
+            bucket.append(names[at])
     return np.concatenate(owner), (np.concatenate(bucket) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
