@@ -7,21 +7,24 @@ whose centroid is at most (1 + REPLICATE) times as far and not nearer to a list
 (COPIES at most). Queries find their lists by a greedy beam walk over the centroids' neighbour graph, held in
 memory, whose edges go both ways and whose components are joined and entered one by one; distance-ratio pruning keeps
 those at most (1 + ratio) times as far as the first. The ratio is the smallest
-that reaches TARGET recall on the sample; where none does, the centroids are scanned and all lists searched. Lists longer than LIMIT are cut into blocks, each searched for all
-queries of the list; a task returns its best k a query, and those of a query are merged. Scores are inner products of the
-original vectors in double precision.
-
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
-of another length than most; with fewer candidates than k all are returned; ties go to the smaller id; rows
-that repeat both id and vector are one candidate, no row is one for a query of its own id; an empty table gives
-no rows.
+that reaches TARGET recall on the sample; where none does, the centroids are scanned and all lists searched. Lists
+longer than LIMIT are cut into blocks of rows, and their queries into blocks of QUERIES; a task returns its best k a
+query, and a window merges those of a query. A matrix product finds what may be among the best; scores, order and
+ties go by the inner products of the original vectors in double precision, one row at a time, so that equal vectors
+have equal scores everywhere.
+
+Edge cases: rows of a null id take no part, nor do vectors that are null, empty, zero, or hold null or non-finite
+components, nor those of another length than most; with fewer candidates than k all are returned; ties go to the
+smaller id; rows that repeat both id and vector are one candidate and one query, rows of one id with different
+vectors are several, each query with its own ranks; no row is a candidate for a query of its own id; other columns,
+whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.shared import materialise
@@ -32,6 +35,8 @@ EVERY = 20
 SAMPLE = 12_000
 #: Rows a list should have, centroids at most (they are sent with the function), rows of a block.
 LIST, CENTROIDS, LIMIT = 512, 20_000, 4096
+#: Queries of a list that one task takes.
+QUERIES_A_TASK = 4096
 REPLICATE, COPIES = 0.06, 3
 TARGET, BEAM, DEGREE = 0.97, 32, 24
 RATIOS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.3, 0.4, 0.6, 1e9)
@@ -161,9 +166,8 @@ def tune(centroids: Centroids, x: np.ndarray, most: float, k: int) -> float:
     return RATIOS[-1]
 
 
-def _post(centre: np.ndarray, most: float, ratio: float, asking: bool):
+def _post(centroids: Centroids, most: float, ratio: float, asking: bool):
     def run(batches):
-        centroids = Centroids(centre)
         for batch in batches:
             x = matrix(batch.column(1))
             if asking:
@@ -177,12 +181,7 @@ def _post(centre: np.ndarray, most: float, ratio: float, asking: bool):
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, best first, ties to the smaller id."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        place = np.flatnonzero(scores >= floor)
-    else:
-        place = np.arange(len(scores))
-    return place[np.lexsort((ids[place], -scores[place]))][:k]
+    return np.lexsort((ids, -scores))[:k]
 
 
 def _searched(k: int):
@@ -190,44 +189,33 @@ def _searched(k: int):
         out = []
         if queries.num_rows and rows.num_rows:
             x, ids = matrix(rows["vector"]), rows["id"].to_numpy()
-            qs, own = matrix(queries["vector"]), queries["id"].to_numpy()
+            qs, own, tie = matrix(queries["vector"]), queries["id"].to_numpy(), queries["tie"].to_numpy()
+            # A product of matrices may err in the last bits: whatever it puts this near the k-th is scored anew.
+            slack = 1e-12 * np.sqrt((x * x).sum(1).max()) * np.sqrt((qs * qs).sum(1))
             for a in range(0, len(qs), 256):
                 scores = qs[a : a + 256] @ x.T
-                for i, s in enumerate(scores):
-                    s[ids == own[a + i]] = -np.inf
-                    top = best(s, ids, k)
-                    top = top[s[top] > -np.inf]
-                    exact = (x[top] * qs[a + i]).sum(1)
-                    out.append((own[a + i], ids[top].tolist(), exact.tolist()))
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "ids": pa.array([r[1] for r in out], pa.list_(pa.int64())), "scores": pa.array([r[2] for r in out], pa.list_(pa.float64()))})
-
-    return run
-
-
-def _merged(k: int):
-    def run(rows: pa.Table) -> pa.Table:
-        query = rows["query_id"][0].as_py()
-        ids = np.concatenate([np.array(x, np.int64) for x in rows["ids"].to_pylist()])
-        scores = np.concatenate([np.array(x, float) for x in rows["scores"].to_pylist()])
-        # A row that several lists hold is one candidate.
-        _, first = np.unique(np.stack([ids, scores.view(np.int64)], 1), axis=0, return_index=True) if len(ids) else (None, np.zeros(0, int))
-        ids, scores = ids[first], scores[first]
-        top = best(scores, ids, k)
-        n = len(top)
-        return pa.table({"query_id": pa.array([query] * n, pa.int64()), "rank": pa.array(np.arange(1, n + 1), pa.int32()), "vec_id": pa.array(ids[top]), "score": pa.array(scores[top])})
+                for i, s in enumerate(scores, a):
+                    s[ids == own[i]] = -np.inf
+                    floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
+                    place = np.flatnonzero((s >= floor - slack[i]) & (s > -np.inf))
+                    exact = (x[place] * qs[i]).sum(1)
+                    top = best(exact, ids[place], k)
+                    out.append((np.full(len(top), own[i]), np.full(len(top), tie[i]), ids[place[top]], exact[top]))
+        join = lambda c, kind: pa.array(np.concatenate([np.zeros(0, kind), *(r[c] for r in out)]))
+        return pa.table({"query_id": join(0, np.int64), "tie": join(1, np.int64), "vec_id": join(2, np.int64), "score": join(3, float)})
 
     return run
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query."""
-    take = lambda df: df.filter(usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
+    take = lambda df: df.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
     valid = take(rows)
     common = valid.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return valid.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
     valid = materialise(valid.filter(F.size("vector") == common["d"]), "vectors")
-    asked = take(queries).filter(F.size("vector") == common["d"])
+    asked = take(queries).filter(F.size("vector") == common["d"]).dropDuplicates(["id", "vector"])
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     total, most = valid.agg(F.count("*"), F.sqrt(F.max(square))).first()
     bound = int(min(1.0, SAMPLE / total) * (1 << 30))
@@ -236,18 +224,25 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id",
     sample = lifted(np.array([r["vector"] for r in drawn] or [valid.first()["vector"]], np.float64), most)
     sample = np.unique(sample, axis=0)
     sample = sample[np.random.default_rng(3).permutation(len(sample))]
-    centre = fit(sample, max(1, min(CENTROIDS, total // LIST)))
-    ratio = tune(Centroids(centre), sample, most, k)
+    centroids = Centroids(fit(sample, max(1, min(CENTROIDS, total // LIST))))
+    ratio = tune(centroids, sample, most, k)
     kind = dict(valid.dtypes)["vector"]
     schema = f"id long, vector {kind}, lists array<int>"
-    posted = valid.mapInArrow(_post(centre, most, ratio, False), schema).withColumn("list", F.explode("lists")).drop("lists")
-    posted = materialise(posted, "postings")
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIMIT)).cast("int").alias("blocks"))
-    cut = posted.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int")).drop("blocks")
-    probing = asked.repartition(F.col("id")).mapInArrow(_post(centre, most, ratio, True), schema).withColumn("list", F.explode("lists")).drop("lists")
-    probing = probing.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    found = probing.groupBy("list", "block").cogroup(cut.groupBy("list", "block")).applyInArrow(_searched(k), "query_id long, ids array<long>, scores array<double>")
-    return found.groupBy("query_id").applyInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")
+    posted = materialise(valid.mapInArrow(_post(centroids, most, ratio, False), schema), "postings").withColumn("list", F.explode("lists")).drop("lists")
+    probes = materialise(asked.repartition(F.col("id")).mapInArrow(_post(centroids, most, ratio, True), schema).withColumn("tie", F.xxhash64("vector")), "probes")
+    probing = probes.withColumn("list", F.explode("lists")).drop("lists")
+    parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
+    # One row a list: as many as there are centroids.
+    cuts = materialise(parts(posted, LIMIT, "blocks").join(parts(probing, QUERIES_A_TASK, "turns"), "list"), "blocks")
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    held = posted.join(cuts, "list").select("id", "vector", "list", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int").alias("block"), each("turns", "turn"))
+    asking = probing.join(cuts, "list").select("id", "tie", "vector", "list", each("blocks", "block"), F.pmod(F.xxhash64("id", "tie"), F.col("turns")).cast("int").alias("turn"))
+    task = ["list", "block", "turn"]
+    found = asking.groupBy(*task).cogroup(held.groupBy(*task)).applyInArrow(_searched(k), "query_id long, tie long, vec_id long, score double")
+    # A row that several lists hold is one candidate; both steps go by the query, so they share one shuffle.
+    distinct = found.repartition("query_id", "tie").dropDuplicates(["query_id", "tie", "vec_id", "score"])
+    order = Window.partitionBy("query_id", "tie").orderBy(F.desc("score"), "vec_id")
+    return distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
