@@ -20,7 +20,9 @@ A pair that several tasks hold is counted by the first of them; tasks return per
 spanning forest of them, never all pairs.
 
 Edge cases: a null label, a null, empty or zero vector, and one with null or non-finite components, link with
-nothing; repeated rows of one id count as separate vectors; an empty table gives no rows.
+nothing; repeated rows of one id count as separate vectors; a null id counts as absent when the smallest id of a
+component is taken, and is itself kept only in a component of null ids; components of any number type do; other columns,
+whatever their names, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
-from tracemill.llm.shared import materialise
+from tracemill.llm.shared import materialise, release
 
 THRESHOLD = 0.98
 #: Rows that a shard should have before others join it, rows of a block, rows of a label that stay one shard.
@@ -243,10 +245,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         vectors.select(F.col(key).alias("id"), F.when(good, F.xxhash64(F.col(label).cast("string"), F.col(vector))).alias("node"), F.concat_ws(":", F.col(label).cast("string"), F.size(vector)).alias("group"), F.when(good, F.col(vector)).alias("vector")), "vectors"
     )
     nodes = materialise(rows.filter("node is not null").groupBy("node").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count("*").alias("times"), F.min("id").alias("least")), "nodes")
-    counts = {r["group"]: r["count"] for r in nodes.groupBy("group").count().collect()}
-    per = max(SHARD, sum(counts.values()) // CENTROIDS + 1)
-    # Labels of one shard need no centroid.
-    sizes = {g: -(-c // per) for g, c in counts.items() if c > WHOLE}
+    per = max(SHARD, nodes.count() // CENTROIDS + 1)
+    # Labels of one shard need no centroid; the others, being larger than that, are at most CENTROIDS.
+    counts = {r["group"]: r["count"] for r in nodes.groupBy("group").count().filter(F.col("count") > max(WHOLE, per)).collect()}
+    sizes = {g: -(-c // per) for g, c in counts.items()}
     wanted = nodes.sparkSession.createDataFrame([(g, k, counts[g]) for g, k in sizes.items()] or [("", 0, 1)], "g string, k long, total long")
     # The first k of each label in hash order; a threshold, four deviations above k, keeps the draw small.
     share = (F.col("k") + 4 * F.sqrt("k") + 8) / F.col("total")
@@ -257,7 +259,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         if len(centroids.setdefault(r["group"], [])) < sizes[r["group"]]:
             centroids[r["group"]].append(r["vector"])
     centroids = {g: unit(np.array(v, np.float64)) for g, v in centroids.items()}
-    placed = nodes.select("node", "group", "vector", "times").mapInArrow(_assign(centroids, threshold), "node long, group string, vector array<float>, times long, shards array<int>")
+    placed = nodes.select("node", "group", "vector", "times").mapInArrow(_assign(centroids, threshold), f"node long, group string, vector {dict(nodes.dtypes)['vector']}, times long, shards array<int>")
     placed = materialise(placed, "placed")
     members = placed.withColumn("shard", F.explode("shards"))
     blocks = members.groupBy("group", "shard").agg(F.ceil(F.count("*") / F.lit(LIMIT)).cast("int").alias("blocks"))
@@ -269,6 +271,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     lists = tasks.groupBy(*task).applyInArrow(_built, "node long, near array<long>")
     united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     found = materialise(tasks.join(united, "node").groupBy(*task).applyInArrow(_found(threshold), "node long, links long, toward long"), "found")
+    release(placed, tasks)
     forest = found.filter("node <> toward").select(F.col("node").alias("x"), F.col("toward").alias("y")).distinct()
     roots = components(forest)
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
