@@ -2,7 +2,8 @@
 
 A document is a sequence of words. Rounds replace runs of one symbol, and pairs of a left-kind and a right-kind
 symbol, by a name that is a hash of what it stands for; the kind of a symbol in a round is a hash bit of its name.
-So a name means the same words wherever it is formed, and all documents are named alike without a shared table.
+So a name means the same words wherever it is formed, and all documents are named alike without a table that Spark
+would have to give out and join in every round.
 A symbol of at least LEAST words is not merged further. Each symbol carries the interval of words that its being
 formed depends on (its neighbours' part in the decision included): a symbol whose interval lies in a window is
 formed in every copy of that window. Hence:
@@ -16,8 +17,9 @@ and documents without candidate windows are settled in the first pass, so that o
 read again. Symbols and windows are counted by aggregation with map-side combine, joined by shuffle.
 
 Edge cases: null and empty texts have no words; texts shorter than the window lose nothing; a null id is larger
-than every id, so such rows never cause a removal; rows of the same id do not remove each other; an empty table
-gives no rows; texts of any length are taken whole.
+than every id, so such rows never cause a removal; rows of the same id do not remove each other; rows that repeat get
+the same result; other columns, whatever their names, are ignored; an empty table gives no rows; texts of any length
+are taken whole.
 """
 
 from __future__ import annotations
@@ -144,7 +146,7 @@ def _candidates(window: int):
     def run(batches):
         for batch in batches:
             buf, offsets = column(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            rank, tie = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
             shared = batch.column(2)
             for a, b in pieces(offsets):
                 words = Words(buf, offsets[a : b + 1])
@@ -159,7 +161,7 @@ def _candidates(window: int):
                 out = ~_covered(len(words.hash), hi[alone] - window, lo[alone] + 1)[at]
                 text = words.texts()[at[out]]
                 rows = np.unique(np.stack([text, first[out], second[out].astype(np.int64)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][rows[:, 0]], pa.int64()), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["id", "first", "second"])
+                yield pa.RecordBatch.from_arrays([pa.array(rank[a:b][rows[:, 0]]), pa.array(tie[a:b][rows[:, 0]]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], names=["rank", "tie", "first", "second"])
 
     return run
 
@@ -187,7 +189,7 @@ def _removals(window: int):
                     left = gone[words.bounds[i] : words.bounds[i + 1]]
                     digest.append(hashlib.sha256(b" ".join([w for w, g in zip(text, left.tolist()) if not g])).hexdigest())
                 removed = np.bincount(words.texts()[gone], minlength=b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(removed, pa.int64()), pa.array(digest)], names=["id", "n_removed", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(3).slice(a, b - a), pa.array(removed, pa.int64()), pa.array(digest)], names=["rank", "tie", "cut_words", "cut_digest"])
 
     return run
 
@@ -202,22 +204,22 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     marked = materialise(survey.join(firsts, ["total", "digest"], "left").withColumn("copy", F.coalesce(F.col("rank") > F.col("first"), F.lit(False))), "marked")
     release(survey)
     live = marked.filter(F.col("first").isNotNull() & ~F.col("copy"))
-    held = live.select("rank", F.explode("names").alias("name"))
+    # Rows that repeat id and text are one from here; rows of one id, or of none, are told apart by their text.
+    row = ["rank", "tie"]
+    held = live.select(*row, F.explode("names").alias("name")).distinct()
     shared = held.groupBy("name").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("name")
-    mine = held.join(shared, "name").groupBy("rank").agg(F.collect_set("name").alias("shared"))
+    mine = held.join(shared, "name").groupBy(*row).agg(F.collect_list("name").alias("shared"))
     none = F.array().cast("array<long>")
-    chosen = live.filter("open").select("rank").distinct().join(mine, "rank", "full").select("rank", F.coalesce("shared", none).alias("shared"))
-    # Rows of one id may differ in text; each is taken with all that is known of the id.
-    texts = raw.withColumn("rank", F.coalesce("id", F.lit(NO_ID))).join(chosen, "rank")
-    texts = materialise(texts.select("rank", "text", "shared"), "texts")
-    windows = texts.mapInArrow(_candidates(window), "id long, first long, second int")
-    owners = windows.groupBy("first", "second").agg(F.min("id").alias("owner"), F.max("id").alias("other")).filter("owner < other")
-    repeated = windows.join(owners.drop("other"), ["first", "second"]).filter("owner < id")
-    marks = repeated.groupBy(F.col("id").alias("rank")).agg(F.collect_set(F.struct("first", "second")).alias("marks"))
-    cut = texts.select("rank", F.xxhash64("text").alias("tie"), "text").distinct().join(marks, "rank")
-    cut = cut.select(F.struct("rank", "tie").alias("id"), "text", "marks").mapInArrow(_removals(window), "id struct<rank:long,tie:long>, n_removed long, digest string")
-    cut = cut.select(F.col("id.rank").alias("rank"), F.col("id.tie").alias("tie"), F.col("n_removed").alias("cut_words"), F.col("digest").alias("cut_digest"))
-    out = marked.join(cut, ["rank", "tie"], "left")
+    chosen = live.filter("open").select(*row).distinct().join(mine, row, "full").select(*row, F.coalesce("shared", none).alias("shared"))
+    texts = raw.withColumn("rank", F.coalesce("id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text")).join(chosen, row)
+    texts = materialise(texts.select("rank", "tie", "text", "shared"), "texts")
+    windows = texts.select("rank", "text", "shared", "tie").mapInArrow(_candidates(window), "rank long, tie long, first long, second int")
+    owners = windows.groupBy("first", "second").agg(F.min("rank").alias("owner"), F.max("rank").alias("other")).filter("owner < other")
+    repeated = windows.join(owners.drop("other"), ["first", "second"]).filter("owner < rank")
+    marks = repeated.groupBy(*row).agg(F.collect_set(F.struct("first", "second")).alias("marks"))
+    cut = texts.select(*row, "text").dropDuplicates(row).join(marks, row).select("rank", "text", "marks", "tie")
+    cut = cut.mapInArrow(_removals(window), "rank long, tie long, cut_words long, cut_digest string")
+    out = marked.join(cut, row, "left")
     empty = F.sha2(F.lit(""), 256)
     return out.select(
         F.col("id").alias(key),
