@@ -10,10 +10,13 @@ The model (Witten-Bell, interpolated with add-one unigrams; nothing is pruned) i
 A word's shard is its hash; a bigram's is its context's hash plus a part of the successor's, so that no context,
 however frequent, fills a shard: the parts of a context are added up where the context's word is, and the sums go
 back to the parts. Counting reads the texts in pieces, each of which sends every word and bigram once with its count.
-For scoring, each piece of text asks every shard for its distinct words and bigrams (by 40 bits of the successor's
-hash within its context) and sends its texts along as numbers of its words; shards answer in the order asked, and the
-piece's rows meet again to be scored. Texts themselves are never shuffled, nothing is broadcast, no row is a single
-n-gram, and the shards are as many as the bytes of text ask for.
+For scoring, each piece of text asks every shard for its distinct words and bigrams; shards answer in the order
+asked, and the answers meet the piece's texts, packed, to score them. Pieces are told by the task that reads them,
+their number in it and a checksum of their texts, so that a rerun that reads other pieces fails instead of mixing
+them. Nothing is broadcast, no row is a single n-gram, and the shards are as many as the bytes of text ask for.
+Counts are added up by whole hashes. The level keeps 40 bits of a successor, and pieces ask by 40 bits of context and
+successor: of s contexts in a shard and t successors one that was never seen is taken for another in about
+(s + t) / 2^40 cases; words are asked for by whole hashes.
 
 Levels are byte buffers of table rows that Arrow maps into the worker, and they are searched as they are: the high
 bits of a key tell the few places where it can be (the h-th zero of the unary part), its low bytes are compared
@@ -43,8 +46,9 @@ BEGIN, END = U(0x243F6A8885A308D3), U(0x13198A2E03707344)
 WORDS, BIGRAMS, TEXTS, CONTEXTS = 0, 1, 2, 3
 BLOB = "kind int, shard int, chunk long, a binary, b binary, c binary, d binary"
 NAMES = ["kind", "shard", "chunk", "a", "b", "c", "d"]
-#: Bits of a successor's hash that a piece asks by; steps of a probability's code for each doubling; no such bigram.
+#: Bits of hashes that bigrams are asked by; steps of a probability's code for each doubling; no such bigram.
 ASKED, STEPS, ABSENT = 40, 1024, 0xFFFF
+REST = U(64 - ASKED)
 #: Place of the k-th one in each byte, highest bit first.
 ONES = np.array([[*[7 - i for i in range(7, -1, -1) if byte >> i & 1], *[0] * 8][:8] for byte in range(256)], np.int64)
 POPULATION = np.array([bin(byte).count("1") for byte in range(256)], np.int64)
@@ -93,9 +97,9 @@ class EliasFano:
     def decode(self) -> np.ndarray:
         return self.get(np.arange(self.n))
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Places of the keys, -1 for those that are not there."""
-        out = np.full(len(keys), -1)
+    def first(self, keys: np.ndarray) -> np.ndarray:
+        """Place of the first value that is not below each key, n where there is none."""
+        out = np.full(len(keys), self.n)
         if not self.n or not len(keys):
             return out
         high = keys >> U(8 * self.keep) if self.keep < 8 else np.zeros(len(keys), U)
@@ -105,12 +109,16 @@ class EliasFano:
         end = np.minimum(self._nth(self.zeros, 0xFF, h) - h, self.n)
         begin = np.where(h > 0, self._nth(self.zeros, 0xFF, np.maximum(h - 1, 0)) - h + 1, 0)
         low = keys[inside] & U((1 << 8 * self.keep) - 1) if self.keep < 8 else keys[inside]
-        at = ranged(lambda place: self._low(place), begin, end, low)
-        hit = at < end
-        hit[hit] = self._low(at[hit]) == low[hit]
-        out[inside] = np.where(hit, at, -1)
+        out[inside] = ranged(self._low, begin, end, low)
         return out
 
+    def find(self, keys: np.ndarray, rest: np.uint64 = U(0)) -> np.ndarray:
+        """Places of the first values that agree with the keys but for the last `rest` bits, -1 where there is none."""
+        at = self.first(keys << rest)
+        hit = at < self.n
+        hit[hit] = self.get(at[hit]) >> rest == keys[hit]
+        return np.where(hit, at, -1)
+
 
 def ranged(values, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """First place in begin:end whose value is not below the key, for each key; values(places) are sorted in a range."""
@@ -138,11 +146,11 @@ def unsqueezed(raw) -> np.ndarray:
 
 def _cut(values: np.ndarray) -> bytes:
     """The leading bits of the hashes."""
-    return (values >> U(64 - ASKED)).astype("<u8").view(np.uint8).reshape(len(values), 8)[:, : ASKED // 8].tobytes()
+    return (values >> REST).astype("<u8").view(np.uint8).reshape(len(values), 8)[:, : ASKED // 8].tobytes()
 
 
 def _uncut(raw) -> np.ndarray:
-    got = np.frombuffer(raw, np.uint8).reshape(-1, ASKED // 8)
+    got = np.frombuffer(np.ascontiguousarray(raw), np.uint8).reshape(-1, ASKED // 8)
     out = np.zeros((len(got), 8), np.uint8)
     out[:, : ASKED // 8] = got
     return out.view("<u8").reshape(len(got))
@@ -151,8 +159,12 @@ def _uncut(raw) -> np.ndarray:
 class Profile:
     """Distinct words and bigrams of some texts, by shard, and which of them each token is."""
 
-    def __init__(self, known: np.ndarray, word: np.ndarray, sizes: np.ndarray, shards: int):
-        """known: sorted hashes, BEGIN among them; word: which each token is, texts one after another."""
+    def __init__(self, buf: np.ndarray, offsets: np.ndarray, shards: int):
+        words = Words(buf, offsets, lower=True)
+        sequence = np.full(len(words.hash) + len(words.counts), END, U)
+        sequence[np.arange(len(words.hash)) + words.texts()] = words.hash
+        known, number = np.unique(np.concatenate([sequence, [BEGIN]]), return_inverse=True)
+        word, sizes = number[:-1], words.counts + 1
         self.keys, self.word, self.sizes = known, word, sizes
         self.text = np.repeat(np.arange(len(sizes)), sizes)
         self.begin = int(np.searchsorted(known, BEGIN))
@@ -171,14 +183,6 @@ class Profile:
         self.word_cut = np.searchsorted(self.word_shard[self.word_order], np.arange(shards + 1))
         self.pair_cut = np.searchsorted(pair_shard[self.pair_order], np.arange(shards + 1))
 
-    @classmethod
-    def of(cls, buf: np.ndarray, offsets: np.ndarray, shards: int) -> Profile:
-        words = Words(buf, offsets, lower=True)
-        sequence = np.full(len(words.hash) + len(words.counts), END, U)
-        sequence[np.arange(len(words.hash)) + words.texts()] = words.hash
-        known, number = np.unique(np.concatenate([sequence, [BEGIN]]), return_inverse=True)
-        return cls(known, number[:-1], words.counts + 1, shards)
-
     def blobs(self, shards: int, chunk: int, counting: bool):
         """A row for each kind and shard that has any: keys, and when counting their counts."""
         rows = []
@@ -192,16 +196,17 @@ class Profile:
                 rows.append((WORDS, shard, chunk, EliasFano.encode(self.keys[mine]), b"", b"", squeezed(words[mine]) if counting else b""))
             mine = self.pair_order[self.pair_cut[shard] : self.pair_cut[shard + 1]]
             if len(mine):
-                contexts, pointers = _trie(self.left[mine])
-                right = self.right[mine]
+                left, right = self.left[mine], self.right[mine]
+                contexts, pointers = _trie(left, U(0) if counting else REST)
                 rows.append((BIGRAMS, shard, chunk, contexts, pointers, right.tobytes() if counting else _cut(right), squeezed(pairs[mine]) if counting else b""))
         return rows
 
 
-def _trie(left: np.ndarray) -> tuple[bytes, bytes]:
-    """The distinct contexts of sorted bigrams, and pointers to the first successor of each and past the last."""
+def _trie(left: np.ndarray, rest: np.uint64 = U(0)) -> tuple[bytes, bytes]:
+    """The distinct contexts of sorted bigrams, without their last `rest` bits, and pointers to the first successor of
+    each and past the last."""
     first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]])) if len(left) else np.zeros(0, int)
-    return EliasFano.encode(left[first]), EliasFano.encode(np.concatenate([first, [len(left)]]).astype(U))
+    return EliasFano.encode(left[first] >> rest), EliasFano.encode(np.concatenate([first, [len(left)]]).astype(U))
 
 
 def table(rows) -> pa.Table:
@@ -233,7 +238,7 @@ def _count(shards: int):
         for batch in batches:
             buf, offsets = column(batch.column(0))
             for a, b in pieces(offsets, CHUNK):
-                yield from table(Profile.of(buf, offsets[a : b + 1], shards).blobs(shards, 0, True)).to_batches()
+                yield from table(Profile(buf, offsets[a : b + 1], shards).blobs(shards, 0, True)).to_batches()
 
     return run
 
@@ -260,7 +265,7 @@ def _gather(shards: int):
         first = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
         followers = np.diff(np.concatenate([first, [len(left)]]))
         contexts, pointers = _trie(left)
-        out = [(BIGRAMS, shard, 0, contexts, pointers, right.tobytes(), squeezed(counts))]
+        out = [(BIGRAMS, shard, 0, contexts, pointers, _cut(right), squeezed(counts))]
         home = (mix(left[first]) % U(shards)).astype(np.int64)
         by = np.argsort(home, kind="stable")
         cut = np.searchsorted(home[by], np.arange(shards + 1))
@@ -325,33 +330,43 @@ def totals(model: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
+def _pieced(batches):
+    """(number, column of ids, buffer, offsets) of the pieces of a task's rows (id, text)."""
+    number = TaskContext.get().partitionId() << 48
+    for batch in batches:
+        buf, offsets = column(batch.column(1))
+        for a, b in pieces(offsets, CHUNK):
+            check = zlib.crc32(buf[offsets[a] : offsets[b]].tobytes()) & 0xFFFFFF
+            yield number | check, batch.column(0).slice(a, b - a), buf, offsets[a : b + 1]
+            number += 1 << 24
+
+
 def _ask(shards: int):
-    """Requests of each piece, and its texts as numbers of its words."""
+    """Requests of each piece."""
 
     def run(batches):
-        piece = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            buf, offsets = column(batch.column(1))
-            for a, b in pieces(offsets, CHUNK):
-                profile = Profile.of(buf, offsets[a : b + 1], shards)
-                sink = pa.BufferOutputStream()
-                ids = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a)], names=["id"])
-                with pa.ipc.new_stream(sink, ids.schema) as out:
-                    out.write_batch(ids)
-                texts = (TEXTS, piece % (1 << 31), piece, sink.getvalue().to_pybytes(), squeezed(profile.sizes), squeezed(profile.word), profile.keys.tobytes())
-                yield from table([texts, *profile.blobs(shards, piece, False)]).to_batches()
-                piece += 1
+        for piece, _, buf, offsets in _pieced(batches):
+            yield from table(Profile(buf, offsets, shards).blobs(shards, piece, False)).to_batches()
 
     return run
 
 
+def _packed(batches):
+    """Each piece's ids, lengths and bytes."""
+    for piece, ids, buf, offsets in _pieced(batches):
+        sink = pa.BufferOutputStream()
+        ids = pa.RecordBatch.from_arrays([ids], names=["id"])
+        with pa.ipc.new_stream(sink, ids.schema) as out:
+            out.write_batch(ids)
+        packed = zlib.compress(buf[offsets[0] : offsets[-1]].tobytes(), 1)
+        yield from table([(TEXTS, 0, piece, sink.getvalue().to_pybytes(), squeezed(np.diff(offsets)), packed, b"")]).to_batches()
+
+
 def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-    """For each request of a shard: count and weight of words; codes of bigrams; in the order asked. Texts go through."""
+    """For each request of a shard: count and weight of words; codes of bigrams; in the order asked."""
     asked = _rows(asked)
     if not asked:
         return table([])
-    if asked[0].kind == TEXTS:
-        return table([(r.kind, r.shard, r.chunk, *(x.to_pybytes() for x in (r.a, r.b, r.c, r.d))) for r in asked])
     level = _rows(model)[0] if model.num_rows else None
     keys = EliasFano(level.a if level else EliasFano.encode(np.zeros(0, U)))
     out = []
@@ -364,12 +379,12 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
             out.append((WORDS, r.shard, r.chunk, squeezed(take(counts)), squeezed(take(weight)), b"", b""))
         return table(out)
     pointers = EliasFano(level.b if level else EliasFano.encode(np.zeros(1, U)))
-    successors = np.frombuffer(level.c, U) if level else np.zeros(0, U)
+    successors = np.frombuffer(level.c if level else b"", np.uint8).reshape(-1, ASKED // 8)
     codes = np.frombuffer(level.d, "<u2") if level else np.zeros(0, "<u2")
-    leading = lambda place: successors[place] >> U(64 - ASKED)
+    leading = lambda place: _uncut(successors[place])
     for r in asked:
         contexts, lens = EliasFano(r.a).decode(), np.diff(EliasFano(r.b).decode().astype(np.int64))
-        at = keys.find(contexts)
+        at = keys.find(contexts, REST)
         there = np.maximum(at, 0)
         begin = np.where(at >= 0, pointers.get(there) if keys.n else 0, 0).astype(np.int64)
         end = np.where(at >= 0, pointers.get(there + 1) if keys.n else 0, 0).astype(np.int64)
@@ -384,11 +399,13 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
 
 
 def _scored(shards: int, n: int, v: int):
-    def run(rows: pa.Table) -> pa.Table:
-        rows = _rows(rows)
-        texts = next(r for r in rows if r.kind == TEXTS)
+    def run(rows: pa.Table, texts: pa.Table) -> pa.Table:
+        if not rows.num_rows or texts.num_rows != 1:
+            raise ValueError("the rows of a task changed between two readings")
+        rows, texts = _rows(rows), _rows(texts)[0]
         ids = pa.ipc.open_stream(texts.a).read_all()["id"]
-        profile = Profile(np.frombuffer(texts.d, U), unsqueezed(texts.c), unsqueezed(texts.b), shards)
+        offsets = np.concatenate([[0], np.cumsum(unsqueezed(texts.b))])
+        profile = Profile(np.frombuffer(zlib.decompress(texts.c), np.uint8), offsets, shards)
         got = {(r.kind, r.shard): r for r in rows}
         order = lambda kind: [got[kind, s] for s in range(shards) if (kind, s) in got]
         count, weight, code = (np.zeros(m) for m in (len(profile.keys), len(profile.keys), len(profile.left)))
@@ -409,10 +426,10 @@ def score(docs: DataFrame, model: DataFrame, shards: int, key: str = "doc_id", t
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row, under a model of that many shards."""
     n, v = totals(model)
     raw = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    asked = raw.mapInArrow(_ask(shards), BLOB)
+    asked, packed = raw.mapInArrow(_ask(shards), BLOB), raw.mapInArrow(_packed, BLOB)
     answers = asked.groupBy("kind", "shard").cogroup(model.groupBy("kind", "shard")).applyInArrow(_answer, BLOB)
     kind = raw.schema["id"].dataType.simpleString()
-    out = answers.groupBy("chunk").applyInArrow(_scored(shards, n, v), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    out = answers.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(_scored(shards, n, v), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
