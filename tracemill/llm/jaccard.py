@@ -41,12 +41,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.components import components
-from tracemill.llm.shared import materialise, release, small
+from tracemill.llm.shared import lean, lean_group, materialise, release, small
 from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_hash
 
 WIDTH, NUM, DEN = 4, 85, 100
 #: Bytes of text for each shard of the elements, and of each piece that packs its own.
-SHARD, CHUNK = 6_000_000, 2_000_000
+SHARD, CHUNK = 12_000_000, 2_000_000
 #: Subsets that one set may have in memory at once.
 SUBSETS = 2000
 #: Bits of a sketch; rows of a block of an open list, and of a task that takes several lists.
@@ -249,7 +249,7 @@ def _light(top: int, num: int, den: int):
 
 def meetings(contents: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(key, node) of the lists and subsets that more than one node has; and (key, x): the smallest node of each."""
-    elements = materialise(contents.select("node", "content").mapInArrow(_elements, "node long, size long, key long"), "elements")
+    elements = materialise(contents.select("node", "content").mapInArrow(lean(_elements), "node long, size long, key long"), "elements")
     counts = materialise(elements.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1"), "frequencies")
     rows, squares = counts.agg(F.sum("df"), F.sum(F.col("df") * F.col("df"))).first()
     top = boundary(squares / rows if rows else 0.0, num, den)
@@ -259,7 +259,7 @@ def meetings(contents: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFr
     # Elements that no other survivor holds come first in the order and make no list.
     wanted = F.col("size") - F.ceil(F.col("size") * num / F.lit(den)) + 1 - (F.col("size") - F.size("rare"))
     heavy = shared.filter(wanted > 0).select("node", F.explode(F.slice("rare", F.lit(1), wanted.cast("int"))).alias("r")).select("r.key", "node")
-    light = contents.filter(F.col("size") <= top).select("node", "content").mapInArrow(_light(top, num, den), "key long, node long")
+    light = contents.filter(F.col("size") <= top).select("node", "content").mapInArrow(lean(_light(top, num, den)), "key long, node long")
     lists = materialise(heavy.unionByName(light), "lists")
     release(elements, counts)
     pivots = materialise(lists.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key", "x"), "pivots")
@@ -285,7 +285,7 @@ def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFra
     left = contents.select(F.col("node").alias("x"), F.col("content").alias("cx"))
     right = contents.select(F.col("node").alias("y"), F.col("content").alias("cy"))
     both = pairs.join(left, "x").join(right, "y").select("x", "y", "cx", "cy")
-    return both.mapInArrow(_linked(num, den), "x long, y long, linked boolean").filter("linked").select("x", "y")
+    return both.mapInArrow(lean(_linked(num, den)), "x long, y long, linked boolean").filter("linked").select("x", "y")
 
 
 def candidates(root: np.ndarray, size: np.ndarray, marks: np.ndarray, ask: np.ndarray, hold: np.ndarray, num: int, den: int, limit: int):
@@ -350,7 +350,7 @@ def open_pairs(lists: DataFrame, roots: DataFrame, marks: DataFrame, num: int, d
     bins = 1 + rows // BIN
     tasks = members.withColumn("slot", F.explode(slots)).select("key", "node", "root", "main", "size", "sketch", F.col("slot.i").alias("i"), F.col("slot.j").alias("j"), F.col("slot.role").alias("role"))
     tasks = tasks.withColumn("bin", F.when(F.col("role") == 2, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")))
-    found = materialise(tasks.groupBy("bin", "i", "j").applyInArrow(_scanned(num, den, limit), "x long, y long").distinct(), "candidates")
+    found = materialise(tasks.groupBy("bin", "i", "j").applyInArrow(lean_group(_scanned(num, den, limit)), "x long, y long").distinct(), "candidates")
     kept = materialise(rooted.select("key", "node").join(several.select("key"), "key"), "lists")
     release(rooted, several)
     return kept, found
@@ -366,13 +366,13 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     raw = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), _tie(text).alias("tie"))
     shards = 1 + (raw.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD
     kind = docs.schema[key].dataType.simpleString()
-    summary = materialise(raw.mapInArrow(_summary(width), f"id {kind}, n_shingles long, node long, tie long"), "sets")
-    shared = raw.select("text").mapInArrow(_packed(width, shards), PACK).groupBy("shard").applyInArrow(_shared, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    summary = materialise(raw.mapInArrow(lean(_summary(width)), f"id {kind}, n_shingles long, node long, tie long"), "sets")
+    shared = raw.select("text").mapInArrow(lean(_packed(width, shards)), PACK).groupBy("shard").applyInArrow(lean_group(_shared), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
     nodes = summary.filter("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min(F.struct("id", "tie")).alias("h"))
     # One text of each survivor.
     survivors = materialise(nodes.join(shared, "node").filter(F.col("n") * den >= F.col("size") * num).select("node", F.col("h.id").alias("h_id"), F.col("h.tie").alias("h_tie")), "survivors")
     texts = raw.join(small(survivors), F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))).select("node", "text")
-    contents = materialise(texts.mapInArrow(_contents(width), "node long, size long, content binary, sketch binary").dropDuplicates(["node"]), "contents")
+    contents = materialise(texts.mapInArrow(lean(_contents(width)), "node long, size long, content binary, sketch binary").dropDuplicates(["node"]), "contents")
     lists, pivots = meetings(contents, num, den)
     stars = lists.join(pivots, "key").filter("node <> x").groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("met"))
     best = materialise(stars.groupBy("y").agg(F.max_by("x", F.struct("met", -F.col("x"))).alias("x")).select("x", "y"), "stars")

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import materialise, release
+from tracemill.llm.shared import lean, lean_group, materialise, release
 from tracemill.llm.tokens import U, Words, column, mix, pieces
 
 CHUNK = 5_000_000
@@ -315,7 +315,7 @@ def build(docs: DataFrame, shards: int, text: str = "text") -> DataFrame:
     """The model of all docs: one row per kind and shard."""
     raw = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     kind = F.col("kind")
-    counts = materialise(raw.mapInArrow(_count(shards), BLOB).groupBy("kind", "shard").applyInArrow(_gather(shards), BLOB), "lm-counts")
+    counts = materialise(raw.mapInArrow(lean(_count(shards)), BLOB).groupBy("kind", "shard").applyInArrow(lean_group(_gather(shards)), BLOB), "lm-counts")
     words = materialise(counts.filter(kind != BIGRAMS).groupBy("shard").applyInArrow(_words, BLOB), "lm-words")
     bigrams = counts.filter(kind == BIGRAMS).unionByName(words.filter(kind == CONTEXTS)).groupBy("shard").applyInArrow(_bigrams, BLOB)
     model = materialise(words.filter(kind == WORDS).unionByName(bigrams), "lm-model")
@@ -426,9 +426,11 @@ def score(docs: DataFrame, model: DataFrame, shards: int, key: str = "doc_id", t
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row, under a model of that many shards."""
     n, v = totals(model)
     raw = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    asked, packed = raw.mapInArrow(_ask(shards), BLOB), raw.mapInArrow(_packed, BLOB)
+    asked, packed = raw.mapInArrow(lean(_ask(shards)), BLOB), raw.mapInArrow(lean(_packed), BLOB)
     answers = asked.groupBy("kind", "shard").cogroup(model.groupBy("kind", "shard")).applyInArrow(_answer, BLOB)
     kind = raw.schema["id"].dataType.simpleString()
+    # Written, so that the requests' shuffle files go before the texts are shuffled.
+    answers = materialise(answers, "lm-answers")
     out = answers.groupBy("chunk").cogroup(packed.groupBy("chunk")).applyInArrow(_scored(shards, n, v), f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

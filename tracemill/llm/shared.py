@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim() -> None:
+    """Gives memory that a worker has freed back to the system: workers outlive their tasks, and share a machine."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def lean(run):
+    """A function of batches that trims when it ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def lean_group(run):
+    """A function of a group's table that trims when it ends."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def prepare(spark: SparkSession) -> None:
     """Sends the package, and bounds the Arrow batches, so that a worker holds a few MB of texts at a time."""
     ship(spark)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import materialise, release
+from tracemill.llm.shared import lean, materialise, release
 from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_hash
 
 WINDOW = 50
@@ -198,7 +198,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     """(key, n_words, n_removed, kept_sha256) of each row."""
     spark = docs.sparkSession
     raw = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    surveyed = raw.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(_survey(window), "id long, tie long, n_words long, digest string, total long, open boolean, names array<long>")
+    surveyed = raw.select("id", F.xxhash64("text").alias("tie"), "text").mapInArrow(lean(_survey(window)), "id long, tie long, n_words long, digest string, total long, open boolean, names array<long>")
     survey = materialise(surveyed.withColumn("rank", F.coalesce("id", F.lit(NO_ID))), "survey")
     firsts = survey.filter(F.col("n_words") >= window).groupBy("total", "digest").agg(F.min("rank").alias("first"))
     marked = materialise(survey.join(firsts, ["total", "digest"], "left").withColumn("copy", F.coalesce(F.col("rank") > F.col("first"), F.lit(False))), "marked")
@@ -213,12 +213,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     chosen = live.filter("open").select(*row).distinct().join(mine, row, "full").select(*row, F.coalesce("shared", none).alias("shared"))
     texts = raw.withColumn("rank", F.coalesce("id", F.lit(NO_ID))).withColumn("tie", F.xxhash64("text")).join(chosen, row)
     texts = materialise(texts.select("rank", "tie", "text", "shared"), "texts")
-    windows = texts.select("rank", "text", "shared", "tie").mapInArrow(_candidates(window), "rank long, tie long, first long, second int")
+    windows = texts.select("rank", "text", "shared", "tie").mapInArrow(lean(_candidates(window)), "rank long, tie long, first long, second int")
     owners = windows.groupBy("first", "second").agg(F.min("rank").alias("owner"), F.max("rank").alias("other")).filter("owner < other")
     repeated = windows.join(owners.drop("other"), ["first", "second"]).filter("owner < rank")
     marks = repeated.groupBy(*row).agg(F.collect_set(F.struct("first", "second")).alias("marks"))
     cut = texts.select(*row, "text").dropDuplicates(row).join(marks, row).select("rank", "text", "marks", "tie")
-    cut = cut.mapInArrow(_removals(window), "rank long, tie long, cut_words long, cut_digest string")
+    cut = cut.mapInArrow(lean(_removals(window)), "rank long, tie long, cut_words long, cut_digest string")
     out = marked.join(cut, row, "left")
     empty = F.sha2(F.lit(""), 256)
     return out.select(

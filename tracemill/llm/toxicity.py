@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.shared import lean
 from tracemill.llm.tokens import STEP, Words, column, mix, pieces, spans_hash
 
 #: The embedding table has 2^BITS rows.
@@ -33,6 +34,8 @@ PAD = 16
 #: Passes over the sample; a small one gets about STEPS batches in all at least.
 EPOCHS, STEPS, RATE, BATCH = 8, 600, 0.15, 64
 THRESHOLD = 0.7
+#: Bytes of text that are scored at a time.
+SCORED = 1 << 18
 
 
 def subwords(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +142,7 @@ SCALE = 50.0
 
 def scores_of(buf: np.ndarray, offsets: np.ndarray, contributions: np.ndarray, bias: float) -> np.ndarray:
     out = [np.zeros(0)]
-    for a, b in pieces(offsets):
+    for a, b in pieces(offsets, SCORED):
         words = Words(buf, offsets[a : b + 1])
         first, text, number = distinct(words)
         owner, bucket = subwords(words, first)
@@ -186,7 +189,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *columns: str, text:
     fed = docs.select(*columns, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_tm_text"))
     kept = docs.select(*columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + f", `{out}` double"
-    return fed.mapInArrow(scorer(*model, out), schema)
+    return fed.mapInArrow(lean(scorer(*model, out)), schema)
 
 
 def held_out(key: str = "doc_id"):
