@@ -2,18 +2,24 @@
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tracemill.functions import answers as G
 from tracemill.functions import text as X
 from tracemill.operators import advantages as V
 from tracemill.operators import aggregates as A
+from tracemill.operators import closed_qa as Q
+from tracemill.operators import learning
 from tracemill.operators import relational as R
+from tracemill.operators import rules
 from tracemill.operators import sampling as S
 from tracemill.operators import trajectory as T
 from tracemill.sources import readers
+from tracemill.streaming import early_stop as S2
 
 
 def probes(spark, rows):
@@ -83,17 +89,6 @@ def test_group_advantages(spark):
     assert [r.adv for r in V.rloo(df).filter("uid = 2").orderBy("rid").collect()] == [1, -1]
 
 
-def test_gae_against_python(spark):
-    rewards, values = [0.1, -0.4, 1.0, 0.3], [0.2, 0.1, -0.3, 0.5]
-    df = spark.createDataFrame([(1, i + 1, r, v, True) for i, (r, v) in enumerate(zip(rewards, values))], "seq long, pos long, reward double, value double, mask boolean")
-    want, later = [], 0.0
-    for i in reversed(range(4)):
-        later = rewards[i] + 0.9 * (values[i + 1] if i < 3 else 0) - values[i] + 0.9 * 0.8 * later
-        want.append(later)
-    got = [r.adv for r in V.gae(df, 0.9, 0.8).orderBy("pos").collect()]
-    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, reversed(want)))
-
-
 def test_softmax_sums_to_one(spark):
     df = spark.createDataFrame([(1, i, float(x)) for i, x in enumerate((800, 1, -5))], "row long, token long, logit double")
     assert abs(S.softmax(df).agg(F.sum("p")).first()[0] - 1) < 1e-12
@@ -127,6 +122,120 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "m" / "data_source=x").is_dir()
 
 
+def plain_gae(rewards, values, mask, gamma, lam):
+    out, later = [], 0.0
+    for i in reversed(range(len(rewards))):
+        later = rewards[i] + gamma * (values[i + 1] if i + 1 < len(values) else 0) - values[i] + gamma * lam * later
+        out.append(later)
+    out = out[::-1]
+    valid = [a for a, m in zip(out, mask) if m]
+    mean = sum(valid) / len(valid)
+    var = sum((a - mean) ** 2 for a in valid) / (len(valid) - 1)
+    return [(a - mean) / math.sqrt(var + 1e-8) if m else 0.0 for a, m in zip(out, mask)]
+
+
+def test_gae_is_whitened(spark):
+    rewards, values, mask = [0.1, -0.4, 1.0, 0.3], [0.2, 0.1, -0.3, 0.5], [True, True, False, True]
+    df = spark.createDataFrame([(1, i + 1, r, v, m) for i, (r, v, m) in enumerate(zip(rewards, values, mask))], "seq long, pos long, reward double, value double, mask boolean")
+    got = [r.adv for r in V.gae(df, 0.9, 0.8).orderBy("pos").collect()]
+    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, plain_gae(rewards, values, mask, 0.9, 0.8)))
+
+
+def test_expressions():
+    same = [("2*(x+1)", "2x+2"), ("sqrt(8)", "2sqrt(2)"), ("x^2-1", "(x-1)(x+1)"), ("1/2+1/3", "5/6"), ("3pi/3", "pi")]
+    other = [("2x", "x+2"), ("sqrt(2)", "1.41"), ("x", "y"), ("", "1"), ("1/0", "1"), ("x^{2}", "x^{2}"), ("__import__('os')", "1")]
+    assert all(G.equal_expressions(a, b) for a, b in same) and not any(G.equal_expressions(a, b) for a, b in other)
+    assert G.same_symbols("\\frac{1}{2}", "1/2") and G.same_symbols("(1, 2x)", "(1,x+x)") and not G.same_symbols("[1,2]", "(1,2)") and not G.same_symbols("2/4", "1/2")
+    assert G.found_answer("We get 7. So the answer is 12. ok")[1] == "12" and not G.found_answer("nothing at all")[0]
+
+
+def test_answer_tags():
+    text = "<think>ab. (<answer>A</answer>) cd <answer>B</answer></think> <final_answer>A</final_answer>"
+    # Visible: "ab. () cd ": 5 characters before the first tag, 10 before the second and in all.
+    assert G.tag_score(text, "B") == (1.0, 2)
+    assert G.tag_score(text.replace("<final_answer>A</final_answer>", ""), "B") == (0.0, 2)
+    assert G.tag_score("no tags", "A") == (0.0, 0) and G.tag_score(None, None) == (0.0, 0)
+    score, tags = G.sentence_tag_score("ab. (<answer>A</answer>) cd <answer>A</answer>", "A")
+    assert tags == 2 and math.isclose(score, (1 - 4 / 8) / 2)
+
+
+def test_closed_features(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, i, *map(float, rng.normal(size=4))) for i in range(7)]
+    got = Q.featured(spark.createDataFrame(rows, "qid long, step long, a double, b double, c double, d double")).orderBy("step").collect()
+    shares = np.array([np.exp(r[2:]) / np.exp(r[2:]).sum() for r in rows])
+    for i, r in enumerate(got):
+        last = shares[max(0, i - 4) : i + 1]
+        fisher = np.mean([np.diag(p) - np.outer(p, p) for p in last], 0)
+        assert math.isclose(r.fi_lmax, np.linalg.eigvalsh(fisher)[-1], abs_tol=1e-9) and math.isclose(r.fi_trace, np.trace(fisher), abs_tol=1e-9)
+        path = np.log(shares).cumsum(0)[: i + 1]
+        if i >= 2:
+            v, a = path[-1] - path[-2], path[-1] - 2 * path[-2] + path[-3]
+            across = a - (a @ v) / (v @ v + 1e-9) * v
+            assert math.isclose(r.kappa, np.linalg.norm(across) / (v @ v + 1e-9), abs_tol=1e-9)
+        assert r.run_len >= 1 and math.isclose(r.step_ratio, (i + 1) / 7)
+
+
+def test_sessions_over_split_tags():
+    import pandas as pd
+
+    class State:
+        exists, value = False, None
+
+        @property
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+    run, state = S2.session_states(10.0, 2), State()
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["step", "event_id", "delta", "finished", "value"])])
+    first = pd.concat(run((1,), frame((0, 0, "a <final_", False, 1.0), (1, 1, "answer>B</fi", False, 99.0)), state))
+    second = pd.concat(run((1,), frame((2, 2, "nal_answer>", True, 99.0), (3, 3, "x", True, 0.0)), state))
+    assert first.kind.tolist() == ["baseline", "interval"] and second[["step", "cause"]].values.tolist() == [[2, "think_final"]]
+
+
+def test_recent_hit_rate():
+    # Over 5 requests the oldest batch goes, one at a time.
+    assert A._rates([3, 3, 3, 1], [1, 1, 1, 1], [1, 0, 0, 1], 5) == [1.0, 0.0, 0.0, 0.5]
+
+
+def test_indel_ratio():
+    assert (rules.indel_ratio("abcd", "abcd"), rules.indel_ratio("abcd", "abed"), rules.indel_ratio("", "a"), rules.indel_ratio("a", "b")) == (100, 75, 0, 0)
+
+
+def test_guarded_rules_have_a_limit(spark):
+    import time
+
+    def slow(x):
+        time.sleep(5 if x == "slow" else 0)
+        return len(x)
+
+    df = spark.createDataFrame([("slow",), ("ok",), (None,)], "t string")
+    got = {r.t: r.s for r in rules.apply_guarded(df, slow, "t", "s", 0.3).collect()}
+    assert got == {"slow": 0.0, "ok": 2.0, None: 0.0}
+
+
+def test_numbering_by_ranges(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(x) if x % 7 else None, i) for i, x in enumerate(rng.integers(0, 50, 3000))]
+    got = [tuple(r) for r in R.numbered(spark.createDataFrame(rows, "a long, b long"), "a", "b").orderBy("row").collect()]
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == [(*r, i) for i, r in enumerate(want)]
+    assert R.numbered(spark.createDataFrame([], "a long"), "a").count() == 0
+
+
+def test_boosting_goes_on(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    df = spark.createDataFrame([(float(a), float(b), int(a * b > 0)) for a, b in x], "a double, b double, y int")
+    loss = lambda m: learning.boosted_score(m, df).agg(F.avg(-F.log(F.when(F.col("y") == 1, F.col("prob")).otherwise(1 - F.col("prob"))))).first()[0]
+    first = learning.boost(df, ["a", "b"], "y", 2)
+    more = learning.boost(df, ["a", "b"], "y", 2, first)
+    assert len(first.trees) == 2 and len(more.trees) == 4 and loss(more) < loss(first) < math.log(2)
+
+
 def test_entry(spark):
     import __spark_entry__
 

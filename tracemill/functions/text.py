@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import string
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters and commands that canonical forms drop or replace, units, and letter patterns.
@@ -16,6 +18,43 @@ SOFT = r"(?i)(?<![A-Za-z])([ABCD])(?![A-Za-z])"
 FINAL = r"(?is)<final_answer>(.*?)</final_answer>"
 
 
+#: Prompts, by name, with the columns that go into them.
+PROMPTS = {
+    "choice": "**Question**:\n{question}\n**Choices**:\nA: {a}\nB: {b}\nC: {c}\nD: {d}\nNow based on the above reasoning, you must give the correct option in the form <final_answer>your answer(A,B,C,D,only one letter)</final_answer>. You must give an option.",
+    "math": "Here is a math problem:\n{problem}\n\nPlease provide detailed reasoning inside <think>...</think> and then output your final answer inside \\boxed{{}}",
+    "open probe": "<think> {prefix} <stop> </think>\n$$\n\\boxed{{",
+    "closed probe": "<think> {prefix} </think><final_answer>",
+}
+
+
+def prompt(name: str, **columns: Column) -> Column:
+    """The named prompt with columns put in."""
+    parts = [F.lit(x) if field is None else piece for text, field, _, _ in string.Formatter().parse(PROMPTS[name]) for x, field, piece in ((text, None, None), (None, field, columns.get(field))) if x or field]
+    return F.concat(*parts)
+
+
+def opened(system: Column, user: Column, thought: Column | None = None) -> Column:
+    """A conversation opened for thinking, or with the thinking given and closed."""
+    head = [F.lit("<system>"), system, F.lit("</system>\nuser\n"), user, F.lit("\nassistant\n<think> ")]
+    return F.concat(*head) if thought is None else F.concat(*head, thought, F.lit(" </think>\n"))
+
+
+#: How models mark calls of tools, in the order in which texts are tried.
+CALL_MARKS = (r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>", r"(?s)\[TOOL_CALLS\]\s*(\[.*\])", r"(?s)<\|python_tag\|>\s*(\{.*\})")
+CALL = "struct<name:string,arguments:string,parameters:string>"
+
+
+def tool_calls(text: Column) -> Column:
+    """struct<calls: array<struct<name, arguments>>, content>: calls in JSON after any of the marks, and the text before
+    the first one. Calls that are no JSON or have no name are left out."""
+    tagged, listed, bare = (F.regexp_extract_all(text, F.lit(m), F.lit(1)) for m in CALL_MARKS)
+    one = lambda j: F.from_json(j, CALL)
+    many = F.flatten(F.transform(listed, lambda j: F.coalesce(F.from_json(j, f"array<{CALL}>"), F.array().cast(f"array<{CALL}>"))))
+    found = F.when(F.size(tagged) > 0, F.transform(tagged, one)).when(F.size(listed) > 0, many).otherwise(F.transform(bare, one))
+    calls = F.transform(F.filter(found, lambda c: c["name"].isNotNull()), lambda c: F.struct(c["name"].alias("name"), F.coalesce(c["arguments"], c["parameters"], F.lit("{}")).alias("arguments")))
+    return F.struct(calls.alias("calls"), F.regexp_extract(text, r"(?s)^(.*?)(?:<tool_call>|\[TOOL_CALLS\]|<\|python_tag\|>|\z)", 1).alias("content"))
+
+
 def let(x: Column, f) -> Column:
     """f(x) with x computed once: a column that a branch repeats would be expanded each time."""
     return F.transform(F.array(x), lambda v: f(v))[0]
@@ -72,7 +111,11 @@ def canonical(x: Column) -> Column:
 
 def math_form(x: Column) -> Column:
     """A stricter form: braces around one-character arguments of \\frac and \\sqrt, a/b as \\frac, no units."""
-    x = F.trim(F.regexp_replace(F.trim(x), r"^\\text\{(.+?)\}$", "$1"))
+    return strict_form(F.trim(F.regexp_replace(F.trim(x), r"^\\text\{(.+?)\}$", "$1")))
+
+
+def strict_form(x: Column) -> Column:
+    """The steps of math_form on a text as it is."""
     x = _replaced(x, [("\n", ""), ("\\!", ""), ("\\\\", "\\"), *FRACTIONS, ("\\left", ""), ("\\right", ""), *[(d, "") for d in DEGREES], ("\\$", "")])
     x = F.split(x, r"\\text\{ ", -1)[0]
     x = _replaced(x, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
@@ -109,6 +152,21 @@ def tuple_parts(x: Column) -> Column:
     return F.when(x == "", F.array().cast("array<string>")).when(inner != "", F.transform(F.split(inner, ","), lambda p: F.trim(p))).otherwise(F.array(x))
 
 
+def is_fraction(x: Column) -> Column:
+    return x.rlike(r"^-?[0-9]+.?/0*[1-9][0-9]*.?$")
+
+
+def is_whole(x: Column) -> Column:
+    """Whether a text writes a whole number, with commas between thousands or a zero fraction."""
+    number = without_digit_commas(x).try_cast("double")
+    return F.coalesce(F.abs(number - F.round(number)) <= 1e-7, F.lit(False))
+
+
+def mixed_number(x: Column) -> Column:
+    """3 1/2 -> 3+1/2."""
+    return F.regexp_replace(x, r"([0-9]) +([0-9])", "$1+$2")
+
+
 def same_answer(given: Column, truth: Column) -> Column:
     """Cheap equality, then the math form, then the plain form; null when all fail (a symbolic check may decide)."""
     plain = let(plain_form(truth), lambda t: (t != "") & (plain_form(given) == t))
@@ -154,9 +212,10 @@ def stops(text: Column, mark: str = "<stop>") -> Column:
     return F.filter(F.transform(F.split(text, mark, -1), lambda p: F.trim(p)), lambda p: p != "")
 
 
-def prefixes(parts: Column, joint: str = " <stop> ") -> Column:
-    """Every prefix of the parts, joined."""
-    return F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), joint))).otherwise(F.array().cast("array<string>"))
+def prefix_rows(df: DataFrame, parts: str, joint: str = " <stop> ") -> DataFrame:
+    """A row (k, prefix) for the first k parts, joined, for every k; no row holds more than one prefix."""
+    rows = df.filter(F.size(parts) > 0).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.size(parts).cast("long"))))
+    return rows.withColumn("prefix", F.array_join(F.slice(parts, F.lit(1), F.col("k").cast("int")), joint)).drop(parts)
 
 
 def last_parts(parts: Column, n: int, joint: str = " <stop> ") -> Column:

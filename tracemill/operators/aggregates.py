@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.session import ship
+
 
 def step_metrics(df: DataFrame, y: Column, pred: Column) -> DataFrame:
     """Accuracy, precision, recall, F1 (0 where undefined) and the rate of positives, in one pass."""
@@ -53,24 +58,56 @@ def histogram(df: DataFrame, value: str, bounds: list[float], by: list[str] = ()
     return wide.select(*by, "total", "count", F.explode(rows).alias("h")).select(*by, "total", "count", "h.le", "h.n")
 
 
-def bootstrap(df: DataFrame, value: str, row: str, rounds: int, total: int, seed: int = 42) -> DataFrame:
-    """Mean and standard deviation of the means of `rounds` resamples with replacement.
+def uniform(*parts) -> Column:
+    """A number in (0, 1) that the parts, columns or constants, determine: the first 32 bits of their MD5."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
-    Each row's multiplicity in a round is Poisson(1), drawn from a hash of row, round and seed: the resample needs no
-    join and no order, and a rerun gives the same.
-    """
-    u = (F.pmod(F.xxhash64(F.col(row), F.col("round"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u")
-    drawn = df.select(row, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", u)
-    steps, mass, edge = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 12):
+
+def poisson_edges() -> list[tuple[int, float]]:
+    """(k, the probability that a Poisson(1) variable is less than k)."""
+    out, mass, edge = [], math.exp(-1.0), 0.0
+    for k in range(1, 13):
         edge += mass
-        steps = F.when(F.col("u") >= edge, k).otherwise(steps) if k == 1 else F.when(F.col("u") >= edge, F.lit(k)).otherwise(steps)
+        out.append((k, edge))
         mass /= k
-    means = drawn.withColumn("times", steps).groupBy("round").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
+    return out
+
+
+def bootstrap(df: DataFrame, value: str, row: str, rounds: int, seed: int = 42) -> DataFrame:
+    """Mean and standard deviation of the means of `rounds` resamples with replacement.
+
+    Each row's multiplicity in a round is Poisson(1), drawn from a hash of seed, round and row: the resample needs no
+    join and no order, and a rerun gives the same. Sums are taken map-side, one row a round and task is shuffled.
+    """
+    drawn = df.select(row, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", uniform(seed, F.col("round"), F.col(row)))
+    times = F.lit(0)
+    for k, edge in poisson_edges():
+        times = F.when(F.col("u") >= edge, F.lit(k)).otherwise(times)
+    means = drawn.withColumn("times", times).groupBy("round").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))
 
 
-def sliding_hit_rate(df: DataFrame, order: list[str], queries: str, hits: str, width: int, within: str) -> DataFrame:
-    """Hits over queries of the last `width` rows of a stream."""
-    w = Window.partitionBy(within).orderBy(*order).rowsBetween(-width + 1, 0)
-    return df.withColumn("hit_rate", F.coalesce(F.try_divide(F.sum(hits).over(w), F.sum(queries).over(w)), F.lit(0.0)))
+def _rates(requests, queries, hits, most: int) -> list[float]:
+    out, first, sums = [], 0, [0, 0, 0]
+    for i, now in enumerate(zip(requests, queries, hits)):
+        sums = [a + b for a, b in zip(sums, now)]
+        if sums[0] > most:
+            sums = [a - b for a, b in zip(sums, (requests[first], queries[first], hits[first]))]
+            first += 1
+        out.append(sums[2] / sums[1] if sums[1] else 0.0)
+    return out
+
+
+def recent_hit_rate(df: DataFrame, within: str, order: list[str], requests: str, queries: str, hits: str, most: int) -> DataFrame:
+    """Hits over queries of a stream's recent batches: whenever these hold more than `most` requests, the oldest one goes,
+    one at a time. What has gone depends on all before, so each stream is folded in order."""
+    ship(df.sparkSession)
+    rows = df.groupBy(within).agg(F.array_sort(F.collect_list(F.struct(*order, requests, queries, hits))).alias("t"))
+
+    @F.pandas_udf("array<double>")
+    def rates(r: pd.Series, q: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([_rates(*(x.tolist() for x in s), most) for s in zip(r, q, h)])
+
+    rows = rows.withColumn("hit_rate", rates(F.col(f"t.{requests}"), F.col(f"t.{queries}"), F.col(f"t.{hits}")))
+    return rows.select(within, F.explode(F.arrays_zip("t", "hit_rate")).alias("z")).select(within, *[F.col(f"z.t.{c}").alias(c) for c in order], F.col("z.hit_rate").alias("hit_rate"))

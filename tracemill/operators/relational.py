@@ -9,10 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges that a table is numbered in, at most.
+RANGES = 256
+
+
 def numbered(df: DataFrame, *order: str, within: tuple[str, ...] = (), name: str = "row") -> DataFrame:
-    """df with a 0-based position by order, within groups if any."""
-    w = Window.partitionBy(*within).orderBy(*order) if within else Window.orderBy(*order)
-    return df.withColumn(name, (F.row_number().over(w) - 1).cast("long"))
+    """df with a 0-based position by order, within groups if any.
+
+    Without groups the order's values are cut into ranges at bounds taken from a bounded sample (the rows of the smallest
+    hashes); a position is the rows of earlier ranges plus the place in its own, so no task sorts the whole table.
+    The bounds are literals: every evaluation of the plan cuts alike.
+    """
+    if within:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1).cast("long"))
+    ranges = min(RANGES, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = df.select(*order)
+    sample = sorted(keys.orderBy(F.xxhash64(*order), *order).limit(20 * ranges).collect(), key=lambda r: [(v is not None, v) for v in r])
+    bounds = sorted({int(i * len(sample) / ranges) for i in range(1, ranges)}) if sample else []
+    kinds = [f.dataType for f in keys.schema]
+    cuts = [F.struct(*[F.lit(v).cast(kind).alias(c) for v, kind, c in zip(sample[i], kinds, order)]) for i in bounds]
+    key = F.struct(*[F.col(c) for c in order])
+    part = F.size(F.filter(F.array(*cuts), lambda cut: key >= cut)) if cuts else F.lit(0)
+    placed = df.withColumn("__part", part)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))  # RANGES rows at most
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return placed.withColumn("__in", inside).join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__before") + F.col("__in") - 1).cast("long")).drop("__part", "__in", "__before")
 
 
 def pop(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -84,3 +106,20 @@ def padded(values: Column, length: int, fill, left: bool = False) -> Column:
     lack = F.array_repeat(F.lit(fill), F.greatest(F.lit(length) - F.size(values), F.lit(0)))
     whole = F.concat(lack, values) if left else F.concat(values, lack)
     return F.slice(whole, F.greatest(F.size(whole) - length + 1, F.lit(1)), length) if left else F.slice(whole, 1, length)
+
+
+def transposed(df: DataFrame, row: str, column: str, value: str, block: int) -> DataFrame:
+    """(column, block, values): for each column its values by row, `block` rows at a time, so that no array grows with
+    the table."""
+    parts = df.groupBy(column, F.floor(F.col(row) / F.lit(block)).alias("block")).agg(F.array_sort(F.collect_list(F.struct(row, value))).alias("__v"))
+    return parts.select(column, "block", F.transform("__v", lambda x: x[value]).alias("values"))
+
+
+def paired(left: DataFrame, right: DataFrame, by_left: str, by_right: str) -> DataFrame:
+    """Rows of both side by side: one against all, or equally many by position; other numbers are an error."""
+    n, m = left.count(), right.count()
+    if n not in (1, m):
+        raise ValueError(f"{n} rows cannot be paired with {m}")
+    if n == 1:
+        return F.broadcast(left).join(right)
+    return numbered(left, by_left, name="__at").join(numbered(right, by_right, name="__at"), "__at").drop("__at")

@@ -31,6 +31,26 @@ def closed_reward(text: Column, early: Column, correct: Column) -> Column:
     return F.when(stopped, early).otherwise(0.0) / 4 + fair * stopped.cast("double") / 8 + fair * form / 8 + correct.cast("double") / 2
 
 
+def tag_reward(text: Column, tags: Column, correct: Column, length: Column | None = None) -> Column:
+    """Half for the form, an eighth each for markup, answer tags and accuracy, and with `length` for that.
+
+    Form: half for one final answer (a quarter) and one pair of think tags (a quarter), half when fewer than ten characters
+    follow the final answer. Markup: a half, and with `length` a half more for answer tags. Text with foreign letters or
+    wide gaps gets neither.
+    """
+    from tracemill.functions.text import foreign_letters, wide_gap
+
+    fair = (~(foreign_letters(text) | wide_gap(text))).cast("double")
+    final = (occurrences(text, "<final_answer>") == 1) & (occurrences(text, "</final_answer>") == 1)
+    short = final & (F.length(F.element_at(F.split(text, "</final_answer>", -1), -1)) < 10)
+    thought = (occurrences(text, "<think>") == 1) & (occurrences(text, "</think>") == 1)
+    form = (final.cast("double") + thought.cast("double")) / 4 + short.cast("double") / 2
+    marked = (text.contains("<answer>") & text.contains("</answer>")).cast("double")
+    markup = F.lit(0.5) if length is None else 0.5 + marked / 2
+    score = fair * markup / 8 + tags / 8 + correct.cast("double") / 8 + fair * form / 2
+    return score if length is None else score + length / 8
+
+
 def by_source(source: Column, rules: dict[str, Column]) -> Column:
     """The rule of each source; an unknown source is an error."""
     out = F.raise_error(F.concat(F.lit("no reward for source "), F.coalesce(source, F.lit("null")))).cast("double")

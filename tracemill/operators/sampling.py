@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tracemill.session import ship
 
 
 def softmax(df: DataFrame) -> DataFrame:
@@ -62,15 +66,23 @@ def draft(tokens: list[int], shortest: int, longest: int, k: int) -> list[int] |
     return None
 
 
-def chain(blocks: Column) -> Column:
+def last_hash(blocks: Column) -> Column:
+    """Hash of the last block with all before it; empty without blocks."""
+    return F.aggregate(blocks, F.lit(""), lambda h, block: F.sha2(F.concat_ws("|", h, block), 256))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def chain(blocks: pd.Series) -> pd.Series:
     """Hash of each block with all before it."""
-    start = F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("all"))
 
-    def link(acc: Column, block: Column) -> Column:
-        h = F.sha2(F.concat_ws("|", acc["h"], block), 256)
-        return F.struct(h.alias("h"), F.concat(acc["all"], F.array(h)).alias("all"))
+    def linked(parts) -> list[str]:
+        h, out = "", []
+        for part in parts:
+            h = hashlib.sha256(f"{h}|{part}".encode()).hexdigest()
+            out.append(h)
+        return out
 
-    return F.aggregate(blocks, start, link, lambda acc: acc["all"])
+    return pd.Series([linked(b) for b in blocks])
 
 
 def word_blocks(text: Column, size: int) -> Column:
@@ -88,6 +100,7 @@ def word_blocks(text: Column, size: int) -> Column:
 
 def cached_prefix(df: DataFrame, key: str, blocks: str) -> DataFrame:
     """Longest prefix, in blocks, that a row of smaller key has too; the last block never counts."""
+    ship(df.sparkSession)
     parts = df.select(key, F.size(blocks).alias("n"), F.posexplode(chain(F.col(blocks))).alias("i", "h"))
     first = parts.groupBy("h").agg(F.min(key).alias("first"))
     hit = parts.join(first, "h").filter((F.col("first") < F.col(key)) & (F.col("i") < F.col("n") - 1)).groupBy(key).agg((F.max("i") + 1).cast("long").alias("cached"))

@@ -56,24 +56,20 @@ def step_energy(df: DataFrame, x: str, w: WindowSpec) -> DataFrame:
     return df.withColumn("h_es", F.when(F.row_number().over(w) == 1, 0.0).otherwise(F.col("s_es") - F.lag("s_es").over(w)))
 
 
-def runs(df: DataFrame, key: str, w: WindowSpec) -> DataFrame:
+def runs(df: DataFrame, key: str, w: WindowSpec, order: tuple[str, ...] = ("step", "event_id")) -> DataFrame:
     """run_len and flips of a key: place within its run, and how often it changed so far."""
     changed = F.coalesce((F.col(key) != F.lag(key).over(w)).cast("long"), F.lit(0))
     df = df.withColumn("flips", F.sum(changed).over(so_far(w)))
-    island = Window.partitionBy("qid", "flips").orderBy(*_order(w))
+    island = Window.partitionBy("qid", "flips").orderBy(*order)
     return df.withColumn("run_len", F.row_number().over(island).cast("long"))
 
 
-def _order(w: WindowSpec) -> list[str]:
-    return ["step", "event_id"]
-
-
-def sticky_runs(df: DataFrame, key: str, w: WindowSpec) -> DataFrame:
+def sticky_runs(df: DataFrame, key: str, w: WindowSpec, order: tuple[str, ...] = ("step", "event_id")) -> DataFrame:
     """changed_prev, run_len, flips where a null key leaves the state as it is."""
     before = F.last(key, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     df = df.withColumn("changed_prev", F.coalesce((F.col(key).isNotNull() & before.isNotNull() & (F.col(key) != before)).cast("long"), F.lit(0)))
     df = df.withColumn("flips", F.sum("changed_prev").over(so_far(w)))
-    island = Window.partitionBy("qid", "flips").orderBy(*_order(w)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    island = Window.partitionBy("qid", "flips").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.count(key).over(island)
     return df.withColumn("run_len", F.greatest(seen, F.lit(1)))
 

@@ -22,7 +22,7 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
 
 
 #: Modules that register queries when imported.
-_MODULES = ("trajectory_queries", "relational_queries", "training_queries", "text_queries", "system_queries", "more_queries")
+_MODULES = ("trajectory_queries", "relational_queries", "training_queries", "text_queries", "system_queries", "more_queries", "grading_queries", "decoding_queries", "wider_queries")
 
 
 def _load() -> None:

@@ -67,7 +67,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, trace): a reasoning text with an answer box, in four shapes."""
     i = F.col("doc_id").cast("string")
-    head = F.concat(F.lit("<think> "), F.substring("text", 1, 400))
+    head = F.concat(F.lit("<think> "), F.col("text"))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(F.col("doc_id") % 4 == 0, F.concat(head, F.lit(" </think> \\boxed{\\frac{"), i, F.lit("}{7}} end")))
@@ -103,10 +103,10 @@ requests AS (
 ),
 logits AS (SELECT vec_id AS row, i - 1 AS token, embedding[i]::DOUBLE AS logit FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
 traces AS (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think> ' || substr(text, 1, 400) || ' </think> \boxed{\frac{' || doc_id || '}{7}} end'
-    WHEN 1 THEN '<think> ' || substr(text, 1, 400) || ' \boxed{' || doc_id || '} then \boxed{x{' || doc_id || '}y}'
-    WHEN 2 THEN '<think> ' || substr(text, 1, 400) || ' </think> \boxed{' || doc_id || ' open'
-    ELSE '<think> ' || substr(text, 1, 400) || ' </think> ' || doc_id END AS trace FROM documents
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '<think> ' || text || ' </think> \boxed{\frac{' || doc_id || '}{7}} end'
+    WHEN 1 THEN '<think> ' || text || ' \boxed{' || doc_id || '} then \boxed{x{' || doc_id || '}y}'
+    WHEN 2 THEN '<think> ' || text || ' </think> \boxed{' || doc_id || ' open'
+    ELSE '<think> ' || text || ' </think> ' || doc_id END AS trace FROM documents
 ),
 predictions AS (SELECT doc_id AS id, quality::BIGINT AS y, (n_chars % 1000) / 1000.0::DOUBLE AS p, source FROM labels JOIN documents USING (doc_id))
 """

@@ -54,9 +54,7 @@ register("UDF-1", udf_1, "SELECT event_id, round(1 / (1 + exp(-(value - 100.0) /
 register("RWD-14", rwd_14, "SELECT o_orderkey, round(CASE substr(o_orderpriority, 1, 1) WHEN '3' THEN 0.0::DOUBLE ELSE substr(o_orderpriority, 1, 1)::DOUBLE / (substr(o_orderpriority, 1, 1)::INT - 3) END, 6) AS score FROM orders")
 register("BAL-3", bal_3)
 register("STM-2", lambda s, d: streamed(s, d, float("inf"), 120).select("qid", "step"), sql("SELECT qid, step FROM probes WHERE step % 150 = 0"))
-register("STM-4", lambda s, d: streamed(s, d, 150.0, 0), sql("+f AS (SELECT qid, min(step) AS stop FROM probes WHERE hit GROUP BY qid) SELECT qid, step, step = coalesce(stop, -1) AS stopped FROM probes LEFT JOIN f USING (qid) WHERE step <= coalesce(stop, step)"))
 register("MTH-6", lambda s, d: logits(s, d).filter("token in (3, 5)").groupBy("row").agg(F.max(F.when(F.col("token") == 3, F.col("logit"))).alias("h"), F.max(F.when(F.col("token") == 5, F.col("logit"))).alias("e")).select("row", F.round(F.coalesce(1 / (1 + F.exp(F.col("e") - F.col("h"))), F.lit(1.0)), 6).alias("hard")), sql("SELECT row, round(1 / (1 + exp(max(logit) FILTER (token = 5) - max(logit) FILTER (token = 3))), 6) AS hard FROM logits GROUP BY row"))
 register("PRB-5", lambda s, d: rewards.chosen_step(probes(s, d), F.lit(False), F.col("k") % 5).select("qid", "step"), sql("SELECT qid, step FROM probes QUALIFY row_number() OVER (PARTITION BY qid ORDER BY k % 5 DESC, step DESC) = 1"))
 register("STR-18", lambda s, d: traces(s, d).select("doc_id", F.array_join(rules.quantile_places(F.size(F.split("trace", r"\. ")), 4), ",").alias("places")), sql("+n AS (SELECT doc_id, len(string_split(trace, '. ')) AS n FROM traces) SELECT doc_id, array_to_string(list_transform(range(1, 5), lambda i: list_max(list_transform(range(1, i + 1), lambda j: (ceil(j * n / 5.0::DOUBLE) - 1 + i - j)::BIGINT))), ',') AS places FROM n"))
-register("STR-24", lambda s, d: table(s, d, "part").select("p_partkey", rules.closest_option(F.col("p_brand"), ["Brand#1", "Brand#23", "Brnd#4"]).alias("option")), "SELECT p_partkey, arg_min(o, {'d': levenshtein(p_brand, o) / greatest(length(p_brand), length(o))::DOUBLE, 'i': i}) AS option FROM part, (VALUES ('Brand#1', 0), ('Brand#23', 1), ('Brnd#4', 2)) AS v(o, i) GROUP BY p_partkey")
 register("STR-26", lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(F.transform(F.split(F.replace("text", F.lit(". "), F.lit("->")), "->", -1), lambda p: F.trim(p)), " -> ").alias("joined")), "SELECT doc_id, array_to_string(list_transform(string_split(replace(text, '. ', '->'), '->'), lambda p: trim(p)), ' -> ') AS joined FROM documents")

@@ -27,10 +27,7 @@ trace("STR-3", lambda x: {"key": X.answer_key(x)}, f"CASE WHEN doc_id % 4 < 2 TH
 CANON = r"trim(replace(regexp_replace(replace(replace(a, '–', '-'), '\left', ''), '\\text\{([^}]*)\}', '\1', 'g'), ' ', ''), '$')"
 register("STR-4", lambda s, d: table(s, d, "part").select("p_partkey", X.canonical(F.concat(F.lit(" $\\left–\\text{"), "p_name", F.lit("} "), "p_size", F.lit("$ "))).alias("form")), f"SELECT p_partkey, {CANON} AS form FROM (SELECT p_partkey, trim(' $\\left–\\text{{' || p_name || '}} ' || p_size || '$ ') AS a FROM part)")
 register("STR-5", lambda s, d: table(s, d, "part").select("p_partkey", X.math_form(F.concat(F.lit("x = \\sqrt3 + \\frac12 + "), "p_size")).alias("form"), X.math_form(F.concat_ws("/", "p_size", F.lit("7"))).alias("ratio")), r"SELECT p_partkey, '\sqrt{3}+\frac{1}{2}+' || p_size AS form, '\frac{' || p_size || '}{7}' AS ratio FROM part")
-register("STR-6", lambda s, d: table(s, d, "part").select("p_partkey", X.plain_form(F.concat(F.lit("{"), "p_size", F.lit(" 1/2 meters}"))).alias("form")), "SELECT p_partkey, p_size || '+1/2' AS form FROM part")
 register("STR-7", lambda s, d: table(s, d, "orders").select("o_orderkey", X.without_digit_commas(F.format_number("o_totalprice", 2)).alias("n")), "SELECT o_orderkey, printf('%.2f', o_totalprice) AS n FROM orders")
-register("STR-8", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(X.tuple_parts(F.concat(F.lit("("), "p_size", F.lit(", "), "p_brand", F.lit(")"))), "|").alias("parts")), "SELECT p_partkey, p_size || '|' || p_brand AS parts FROM part")
-register("STR-9", lambda s, d: table(s, d, "part").select("p_partkey", F.coalesce(X.same_answer(F.concat("p_size", F.lit("/7")), F.concat(F.lit("\\dfrac{"), F.col("p_size") + F.col("p_partkey") % 2, F.lit("}{7}"))), F.lit(False)).alias("right")), "SELECT p_partkey, p_partkey % 2 = 0 AS right FROM part")
 register("STR-10", lambda s, d: table(s, d, "documents").select("doc_id", X.letter(F.concat(F.lit("<final_answer>Answer: "), F.substring(F.lit("ABCDE"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)), F.lit(")</final_answer>"))).alias("letter")), "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN substr('ABCD', doc_id % 5 + 1, 1) END AS letter FROM documents")
 register("STR-11", lambda s, d: table(s, d, "part").select("p_partkey", X.gold_letter((F.col("p_partkey") % 4).cast("string")).alias("gold"), X.gold_letter(F.concat(F.lit("-"), F.substring("p_brand", 1, 3), F.lit("b"))).alias("named")), "SELECT p_partkey, substr('ABCD', p_partkey % 4 + 1, 1) AS gold, upper(regexp_extract('-' || substr(p_brand, 1, 3) || 'b', '([A-Da-d])', 1)) AS named FROM part")
 trace("STR-12", lambda x: {"clean": X.cleaned_thinking(F.concat(x, F.lit(" <final_answer>A</final_answer>")))}, "trim(regexp_replace(trace, '</?think>', '', 'g')) AS clean")
@@ -38,7 +35,11 @@ trace("STR-13", lambda x: {"thought": X.thinking(x)}, r"regexp_extract(trace, '(
 STOPS = r"list_filter(list_transform(string_split(replace(trace, '. ', '<stop>'), '<stop>'), lambda p: trim(p)), lambda p: p <> '')"
 stopped = lambda x: X.stops(F.replace(x, F.lit(". "), F.lit("<stop>")))
 trace("STR-14", lambda x: {"n": F.size(stopped(x)).cast("long"), "parts": F.array_join(stopped(x), "|")}, f"len({STOPS}) AS n, array_to_string({STOPS}, '|') AS parts")
-trace("STR-15", lambda x: {"prefixes": F.array_join(X.prefixes(F.slice(stopped(x), 1, 4)), "\n")}, f"coalesce(array_to_string(list_transform(range(1, least(4, len({STOPS})) + 1), lambda k: array_to_string(({STOPS})[1:k], ' <stop> ')), chr(10)), '') AS prefixes")
+register(
+    "STR-15",
+    lambda s, d: X.prefix_rows(traces(s, d).select("doc_id", stopped(F.col("trace")).alias("parts")), "parts").select("doc_id", "k", F.length("prefix").cast("long").alias("chars"), F.md5("prefix").alias("digest")),
+    sql(f"+p AS (SELECT doc_id, {STOPS} AS s FROM traces), k AS (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS k FROM p) SELECT doc_id, k, length(array_to_string(s[1:k], ' <stop> ')) AS chars, md5(array_to_string(s[1:k], ' <stop> ')) AS digest FROM k"),
+)
 trace("STR-16", lambda x: {"tail": X.last_parts(stopped(x), 5)}, f"coalesce(array_to_string(({STOPS})[-5:], ' <stop> '), '') AS tail")
 trace("STR-17", lambda x: {"n": F.size(X.sentences(x)).cast("long"), "first": F.coalesce(F.try_element_at(X.sentences(x), F.lit(1)), F.lit(""))}, r"len(regexp_extract_all(trace, '[^.!?。！？]+[.!?。！？]*')) AS n, coalesce(regexp_extract_all(trace, '[^.!?。！？]+[.!?。！？]*')[1], '') AS first")
 trace("STR-19", lambda x: {"n": F.size(X.thought_steps(x)).cast("long")}, r"len(list_filter(string_split_regex(trace, '->|[.!?\n]'), lambda p: trim(p) <> ''))::BIGINT AS n")
@@ -77,12 +78,12 @@ register("RWD-6", lambda s, d: table(s, d, "documents").select("doc_id", R.by_so
 register("RWD-7", lambda s, d: table(s, d, "orders").select("o_orderkey", R.number_answer(F.concat(F.lit("so 5 #### "), F.format_number("o_totalprice", 2)), True).alias("strict"), R.number_answer(F.concat(F.lit("a 7, b "), "o_custkey", F.lit(".")), False).alias("loose")), "SELECT o_orderkey, printf('%.2f', o_totalprice) AS strict, o_custkey::VARCHAR AS loose FROM orders")
 trace("RWD-11", lambda x: {"score": R.think_format(F.replace(x, F.lit("<think>"), F.lit("")))}, "(doc_id % 4 <> 1)::DOUBLE AS score")
 # --- probe slots
-BUCKETED = "+lt AS (SELECT row, CASE WHEN token % 7 < 4 THEN substr('ABCD', token % 7 + 1, 1) END AS letter, logit AS logp FROM logits WHERE token < 20)"
+BUCKETED = "+lt AS (SELECT row, CASE WHEN token % 7 < 4 THEN substr('ABCD', token % 7 + 1, 1) END AS letter, logit AS logp FROM logits)"
 
 
 def lettered(s, d):
     code = (F.col("token") % 7).cast("int")
-    return logits(s, d).filter("token < 20").select("row", F.when(code < 4, F.substring(F.lit("ABCD"), code + 1, F.lit(1))).alias("letter"), F.col("logit").alias("logp"))
+    return logits(s, d).select("row", F.when(code < 4, F.substring(F.lit("ABCD"), code + 1, F.lit(1))).alias("letter"), F.col("logit").alias("logp"))
 
 
 register("PRB-1", lambda s, d: R.letter_slots(lettered(s, d)).select("row", *[r6(c, c) for c in (*"abcd", "tail")]), sql(BUCKETED + " SELECT row, " + ", ".join(f"round(coalesce(ln(sum(exp(logp)) FILTER (letter = '{x}')), min(logp) - 2), 6) + 0.0 AS {x.lower()}" for x in "ABCD") + ", round(min(logp), 6) + 0.0 AS tail FROM lt GROUP BY row"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracemill.operators import relational as R
 from tracemill.operators import trajectory as T
 from tracemill.plans.catalogue import register
 from tracemill.plans.fixtures import probes, slots, sql
@@ -88,10 +89,10 @@ register(
     lambda s, d: T.final_answers(probes(s, d)).withColumn("k", F.row_number().over(W())).groupBy("qid").agg(F.min(F.when(F.col("y") == 1, F.col("k"))).cast("long").alias("first_match"), F.count("*").alias("prefixes")).withColumn("score", F.round(F.coalesce(1 - F.col("first_match") / F.col("prefixes"), F.lit(0.0)), 6)),
     sql(f"{FINAL}, lab AS ({LABELLED}), num AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY step) AS kk FROM lab) SELECT qid, min(kk) FILTER (y = 1) AS first_match, count(*) AS prefixes, round(coalesce(1 - min(kk) FILTER (y = 1) / count(*)::DOUBLE, 0.0), 6) AS score FROM num GROUP BY qid"),
 )
-# Contiguous shards of ceil(total / 8) rows: ranks by range, not by one global sort task.
+# Contiguous shards of ceil(total / 8) rows: positions by range, not by one global sort task.
 register(
     "WIN-17",
-    lambda s, d: (lambda t, n: t.select("o_orderkey", F.floor((F.row_number().over(Window.orderBy("o_orderkey")) - 1) / F.lit(-(-n // 8))).alias("shard")))(*(lambda t: (t, t.count()))(s.read.parquet(f"{d}/orders.parquet"))),
+    lambda s, d: (lambda t, n: R.numbered(t.select("o_orderkey"), "o_orderkey").select("o_orderkey", F.floor(F.col("row") / F.lit(-(-n // 8))).alias("shard")))(*(lambda t: (t, t.count()))(s.read.parquet(f"{d}/orders.parquet"))),
     "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // (SELECT (count(*) + 7) // 8 FROM orders))::BIGINT AS shard FROM orders",
 )
 register("PRJ-9", lambda s, d: T.one_hot(T.top_letter(cumulated(s, d), FOUR)).select("qid", "step", "is_a", "is_b", "is_c", "is_d"), sql(CUM + "SELECT qid, step, (cum_top = 'A')::DOUBLE AS is_a, (cum_top = 'B')::DOUBLE AS is_b, (cum_top = 'C')::DOUBLE AS is_c, (cum_top = 'D')::DOUBLE AS is_d FROM topped"))

@@ -29,9 +29,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset
+    (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracemill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/") + "/tracemill"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.operators.relational import numbered
+
 #: Spellings of true, and the schema of a probe log.
 TRUE = ("1", "true", "t", "yes", "y")
 PROBE_RECORD = (
@@ -32,8 +34,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", array).json(path)
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """CSV with a header; with `lines`, values may hold line breaks, and each file is one task."""
+    return spark.read.csv(path, header=True, multiLine=lines, escape='"')
 
 
 def read_probe_log(spark: SparkSession, path: str) -> DataFrame:
@@ -52,12 +55,29 @@ def read_probe_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_numbered_json(spark: SparkSession, folder: str) -> DataFrame:
-    """JSON arrays of a folder's files with file_id, the first number in the file's name (-1 if none), to order by."""
+    """JSON arrays of a folder's files with file_id, the first number in the file's name (-1 if none), to order by. A file
+    whose top level is no array is an error."""
+    heads = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("file"), F.substring(F.ltrim(F.regexp_replace(F.substring("value", 1, 4096), r"^\s+", "")), 1, 1).alias("head"))
+    odd = heads.filter("head <> '['").first()
+    if odd is not None:
+        raise ValueError(f"{odd['file']} holds no JSON array")
     df = spark.read.option("multiLine", True).json(folder)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return df.withColumn("file_id", F.coalesce(F.nullif(F.regexp_extract(name, "([0-9]+)", 1), F.lit("")).cast("long"), F.lit(-1)))
 
 
+def read_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt, completion): the first two turns of conversations of JSON, array<struct<value>>, with two turns at least."""
+    turns = F.col("conversations")
+    return spark.read.json(path).filter(F.size(turns) >= 2).select(turns[0]["value"].alias("prompt"), turns[1]["value"].alias("completion"))
+
+
+def read_bursts(spark: SparkSession, path: str, model: str) -> DataFrame:
+    """(prompt_tokens, output_tokens) of a trace in CSV: a model's requests that got an answer."""
+    rows = spark.read.csv(path, header=True).filter((F.col("Model") == model) & (F.col("Response tokens").cast("long") > 0))
+    return rows.select(F.col("Request tokens").cast("long").alias("prompt_tokens"), F.col("Response tokens").cast("long").alias("output_tokens"))
+
+
 def question_kind(df: DataFrame) -> str:
     """choice or math, by the columns."""
     if {"sent1", "ending0", "ending1", "ending2", "ending3"} <= set(df.columns):
@@ -74,8 +94,7 @@ def with_defaults(df: DataFrame, *columns: str) -> DataFrame:
 
 def question_ids(df: DataFrame, order: str, unique: str = "unique_id") -> DataFrame:
     """qid: the unique id, or the row's number where that is empty."""
-    number = (F.row_number().over(Window.orderBy(order)) - 1).cast("string")
-    return df.withColumn("qid", F.coalesce(F.nullif(F.col(unique), F.lit("")), number))
+    return numbered(df, order, name="__row").withColumn("qid", F.coalesce(F.nullif(F.col(unique), F.lit("")), F.col("__row").cast("string"))).drop("__row")
 
 
 def default_features(df: DataFrame, wanted: list[str] | None, usual: list[str], excluded: list[str]) -> list[str]:
@@ -91,6 +110,10 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
+def write_nested(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").parquet(path)
+
+
 def write_probe_log(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
