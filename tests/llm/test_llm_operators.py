@@ -105,6 +105,30 @@ def test_pii_terms_everywhere(spark):
     assert clean[4].startswith("only <TERM> here f0") and clean[0].endswith(" <TERM>, end") and clean[7] == rows[7][1]
 
 
+def test_pii_agrees_with_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(11)
+    values = ["ann@mail.example.com", "10.1.2.3", "+1 (626) 555-5759", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(600):
+        text = [rng.choice(["f", "Gg", "(h)", "i,", "é"]) + str(rng.randint(0, 40)) for _ in range(rng.randint(0, 60))]
+        if i % 40 < 4:
+            # One word stands near one value and elsewhere in the same text, another in other texts too.
+            text += [f"Clue{i % 40},", f"'hint{i % 40}'", values[i % 40], "x" * 5] + [f"t{i}_{j}" for j in range(12)] + [f"clue{i % 40}", f"mailto:hint{i % 40}"]
+        if i % 150 == 5:
+            text += ["\t", "hint0.", f"clue{i % 4}@mail.example.com"]
+        if i % 150 == 7:
+            text += ["HINT1!", "(clue2)"]
+        rows.append((i, None if i % 97 == 96 else " ".join(text)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op1_pii(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(pii.OP1_SQL).df().sort_values("doc_id")
+    assert sum("term:" in s for s in got.spans) > 60 and any("term:" in s and n == 0 for s, n in zip(got.spans, got.n_email + got.n_ip + got.n_card + got.n_phone))
+    assert got[want.columns].values.tolist() == want.values.tolist()
+
+
 # 2
 def test_toxicity(spark, docs, empty):
     rng = random.Random(3)

@@ -305,7 +305,21 @@ given AS (
   SELECT entity, term FROM pairs JOIN spread USING (term)
   WHERE (SELECT count(*) FROM documents)::DOUBLE * joint * joint >= holders::DOUBLE * spread * spread
 ),
-terms AS (SELECT DISTINCT doc_id, start, stop, 4 AS rank, 'term' AS kind FROM seen JOIN given USING (entity, term)),
+chosen AS (SELECT DISTINCT term FROM given),
+holding AS (
+  SELECT DISTINCT doc_id FROM (SELECT doc_id, translate(trim(unnest(w), '.,;:!?()"'''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM split_up)
+  WHERE term IN (SELECT term FROM chosen)
+),
+held AS (SELECT doc_id, w, g, unnest(range(1, len(w) + 1)) AS i FROM split_up WHERE doc_id IN (SELECT doc_id FROM holding)),
+ended AS (SELECT doc_id, w[i] AS word, sum(length(g[i]) + length(w[i])) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM held),
+hits AS (
+  SELECT doc_id, translate(trim(word, '.,;:!?()"'''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term,
+    (stop - length(ltrim(word, '.,;:!?()"''')))::BIGINT AS start, (stop - length(ltrim(word, '.,;:!?()"''')) + length(trim(word, '.,;:!?()"''')))::BIGINT AS stop FROM ended
+),
+terms AS (
+  SELECT DISTINCT h.doc_id, h.start, h.stop, 4 AS rank, 'term' AS kind FROM hits h JOIN chosen USING (term)
+  WHERE h.term <> '' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start < h.stop AND b.stop > h.start)
+),
 spans AS (SELECT doc_id, start, stop, rank, kind FROM base UNION ALL SELECT doc_id, start, stop, rank, kind FROM terms),
 joined AS (
   SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
