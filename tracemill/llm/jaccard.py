@@ -5,8 +5,8 @@ link when their Jaccard similarity is at least num / den. Equal sets are one nod
 
 1. Survivors. A node that links shares at least num / den of its elements with others. Pieces of text send their
    elements, packed by shard, each once (those that several nodes of the piece hold without an owner, so that a
-   frequent shingle is one entry a piece); shards answer how many elements of each node others hold, and nodes with
-   too few are out. Counts may only err upwards.
+   frequent shingle is one entry a piece); shards answer, packed by home of the node, how many elements of each node
+   others hold, and nodes with too few are out. Counts may only err upwards.
 2. Keys. Elements of survivors are counted by Spark, and ordered by (count, hash). A heavy set goes into the
    inverted lists of its rarest elements, as many as it may lack in a partner and one more, so that two linked sets
    meet in one list at least. A light set enumerates its subsets instead: the larger set of a linked pair has L
@@ -47,6 +47,8 @@ from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_ha
 WIDTH, NUM, DEN = 4, 85, 100
 #: Bytes of text for each shard of the elements, and of each piece that packs its own.
 SHARD, CHUNK = 12_000_000, 2_000_000
+#: Shards whose share of the nodes is one home: its answers, at most an entry of 16 bytes an element, fit a task.
+HOME = 4
 #: Subsets that one set may have in memory at once.
 SUBSETS = 2000
 #: Bits of a sketch; rows of a block of an open list, and of a task that takes several lists.
@@ -167,33 +169,59 @@ def _packed(width: int, shards: int):
     return run
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """(node, n) of a shard: at least how many of its elements here other nodes hold."""
-    low, node, out, counts = [], [], [], []
-    for lows, owners, held in zip(*(rows[c].combine_chunks() for c in ("low", "owner", "nodes"))):
-        lows, owners, nodes = lows.as_buffer(), owners.as_buffer(), np.frombuffer(held.as_buffer(), np.int64)
-        if not lows.size:
-            out.append(nodes)
-            counts.append(np.frombuffer(owners, "<i4").astype(np.int64))
-            continue
-        five = np.frombuffer(lows, np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(five), 8), np.uint8)
-        wide[:, :5] = five
-        low.append(wide.view("<u8").reshape(-1))
-        place = np.frombuffer(owners, "<i2" if owners.size == 2 * len(five) else "<i4")
-        node.append(np.where(place == MANY, MANY, np.concatenate([nodes, [MANY]])[place]))
-    if low:
-        low, node = np.concatenate(low), np.concatenate(node)
-        order = np.argsort(low, kind="stable")
-        low, node = low[order], node[order]
-        head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        times = np.diff(np.concatenate([head, [len(low)]]))
-        odd = (node == MANY) | (node != np.repeat(node[head], times))
-        held = np.repeat(np.logical_or.reduceat(odd, head), times) & (node != MANY)
-        each, n = np.unique(node[held], return_counts=True)
-        out.append(each)
-        counts.append(n)
-    return pa.table({"node": pa.array(np.concatenate([np.zeros(0, np.int64), *out])), "n": pa.array(np.concatenate([np.zeros(0, np.int64), *counts]).astype(np.int64))})
+def _totals(nodes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct nodes, and the sum of each one's counts."""
+    each, place = np.unique(np.concatenate([np.zeros(0, np.int64), *nodes]), return_inverse=True)
+    return each, np.bincount(place, np.concatenate([np.zeros(0), *counts]), len(each)).astype(np.int64)
+
+
+ANSWER = "home int, nodes binary, counts binary"
+
+
+def _shared(homes: int):
+    """For each home of nodes: which of them have elements in a shard that other nodes hold, and at least how many."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        low, node, out, counts = [], [], [], []
+        for lows, owners, held in zip(*(rows[c].combine_chunks() for c in ("low", "owner", "nodes"))):
+            lows, owners, nodes = lows.as_buffer(), owners.as_buffer(), np.frombuffer(held.as_buffer(), np.int64)
+            if not lows.size:
+                out.append(nodes)
+                counts.append(np.frombuffer(owners, "<i4").astype(np.int64))
+                continue
+            five = np.frombuffer(lows, np.uint8).reshape(-1, 5)
+            wide = np.zeros((len(five), 8), np.uint8)
+            wide[:, :5] = five
+            low.append(wide.view("<u8").reshape(-1))
+            place = np.frombuffer(owners, "<i2" if owners.size == 2 * len(five) else "<i4")
+            node.append(np.where(place == MANY, MANY, np.concatenate([nodes, [MANY]])[place]))
+        if low:
+            low, node = np.concatenate(low), np.concatenate(node)
+            order = np.argsort(low, kind="stable")
+            low, node = low[order], node[order]
+            head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            times = np.diff(np.concatenate([head, [len(low)]]))
+            odd = (node == MANY) | (node != np.repeat(node[head], times))
+            held = np.repeat(np.logical_or.reduceat(odd, head), times) & (node != MANY)
+            each, n = np.unique(node[held], return_counts=True)
+            out.append(each)
+            counts.append(n)
+        each, n = _totals(out, counts)
+        order = np.argsort(each % homes, kind="stable")
+        each, n = each[order], n[order]
+        cut = np.searchsorted(each % homes, np.arange(homes + 1))
+        some = np.flatnonzero(np.diff(cut))
+        packed = [pa.array([x[cut[h] : cut[h + 1]].tobytes() for h in some], pa.binary()) for x in (each, n)]
+        return pa.table({"home": pa.array(some, pa.int32()), "nodes": packed[0], "counts": packed[1]})
+
+    return run
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """(node, n) of a home's nodes: at least how many of its elements other nodes hold."""
+    read = lambda c: [np.frombuffer(x.as_buffer(), np.int64) for x in rows[c].combine_chunks()]
+    each, n = _totals(read("nodes"), read("counts"))
+    return pa.table({"node": pa.array(each), "n": pa.array(n)})
 
 
 def sketch(elements: np.ndarray) -> bytes:
@@ -367,7 +395,9 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     shards = 1 + (raw.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD
     kind = docs.schema[key].dataType.simpleString()
     summary = materialise(raw.mapInArrow(lean(_summary(width)), f"id {kind}, n_shingles long, node long, tie long"), "sets")
-    shared = raw.select("text").mapInArrow(lean(_packed(width, shards)), PACK).groupBy("shard").applyInArrow(lean_group(_shared), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    # Answers travel packed as the requests do: at most one entry an element, and a row for each shard and home.
+    answers = raw.select("text").mapInArrow(lean(_packed(width, shards)), PACK).groupBy("shard").applyInArrow(lean_group(_shared(1 + shards // HOME)), ANSWER)
+    shared = answers.groupBy("home").applyInArrow(lean_group(_summed), "node long, n long")
     nodes = summary.filter("n_shingles > 0").groupBy("node").agg(F.min("n_shingles").alias("size"), F.min(F.struct("id", "tie")).alias("h"))
     # One text of each survivor.
     survivors = materialise(nodes.join(shared, "node").filter(F.col("n") * den >= F.col("size") * num).select("node", F.col("h.id").alias("h_id"), F.col("h.tie").alias("h_tie")), "survivors")
