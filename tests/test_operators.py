@@ -122,6 +122,14 @@ def test_sinks(spark, tmp_path):
     assert (tmp_path / "m" / "data_source=x").is_dir()
 
 
+def test_items_with_long_keys(spark, tmp_path):
+    keys = [0, 7, 9999, 10000, 10001, 123456, -5, None]
+    readers.write_one_per_item(spark.createDataFrame([(k, f"t{k}") for k in keys], "_id long, t string"), "_id", str(tmp_path / "items"), 2)
+    assert {p.name for p in (tmp_path / "items").iterdir() if p.is_dir()} == {"item=__HIVE_DEFAULT_PARTITION__", *(f"item={k:04d}" for k in keys if k is not None)}
+    rows = spark.read.json(str(tmp_path / "items")).select(F.col("item").cast("long").alias("item"), "_id", "t").collect()
+    assert {(r.item, r._id, r.t) for r in rows} == {(k, k, f"t{k}") for k in keys}
+
+
 def plain_gae(rewards, values, mask, gamma, lam):
     out, later = [], 0.0
     for i in reversed(range(len(rewards))):

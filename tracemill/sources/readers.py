@@ -119,9 +119,14 @@ def write_probe_log(df: DataFrame, path: str) -> None:
 
 
 def write_one_per_item(df: DataFrame, key: str, path: str, total: int) -> None:
-    """A folder per item, the key padded to the digits of the total, four at least."""
+    """A folder per item, the key padded to the digits of the total, four at least; longer keys stay whole, and a minus
+    stays in front."""
     width = max(4, len(str(total)))
-    df.withColumn("item", F.lpad(F.col(key).cast("string"), width, "0")).repartition("item").write.mode("overwrite").partitionBy("item").json(path)
+    name = F.col(key).cast("string")
+    sign = F.when(name.startswith("-"), "-").otherwise("")
+    rest = F.substr(name, F.length(sign) + 1)
+    padded = F.concat(sign, F.lpad(rest, F.greatest(F.length(rest), width - F.length(sign)), "0"))
+    df.withColumn("item", padded).repartition("item").write.mode("overwrite").partitionBy("item").json(path)
 
 
 def append_missing(df: DataFrame, path: str, key: str = "_id") -> int:
