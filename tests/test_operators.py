@@ -1,5 +1,6 @@
 """Worked examples, identities, and plain-Python references on random input."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -130,6 +131,23 @@ def test_items_with_long_keys(spark, tmp_path):
     assert {(r.item, r._id, r.t) for r in rows} == {(k, k, f"t{k}") for k in keys}
 
 
+def test_bootstrap_against_plain_python(spark):
+    # Keys of all lengths, also beyond one MD5 block, null keys and values, and a table with rounds that draw nothing.
+    keys = [str(i * i * 7919) for i in range(150)] + ["", "é", "x" * 46, "x" * 49, "x" * 70, None]
+    for rows in ([(k, None if i % 11 == 3 else i * 1.25) for i, k in enumerate(keys)], [("1", 2.0)], [("1", None)]):
+        means = []
+        for r in range(1, 121):
+            us = [-1.0 if k is None else (int(hashlib.md5(f"42:{r}:{k}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32 for k, _ in rows]
+            times = [sum(u >= edge for _, edge in A.poisson_edges()) for u in us]
+            total = sum(x * n for (_, x), n in zip(rows, times) if x is not None)
+            means.append(total / sum(times) if sum(times) else math.nan)
+        got = A.bootstrap(spark.createDataFrame(rows, "k string, x double"), "x", "k", 120).first()
+        if all(x is None for _, x in rows):
+            assert got["mean"] is None and got["std"] is None
+        else:
+            np.testing.assert_allclose([got["mean"], got["std"]], [np.mean(means), np.std(means)], rtol=1e-12)
+
+
 def plain_gae(rewards, values, mask, gamma, lam):
     out, later = [], 0.0
     for i in reversed(range(len(rewards))):
