@@ -129,6 +129,20 @@ def test_pii_agrees_with_its_sql(spark, tmp_path):
     assert got[want.columns].values.tolist() == want.values.tolist()
 
 
+def test_pii_shuffles_no_text(spark, monkeypatch):
+    far = " ".join(f"é{i}" for i in range(30))
+    rows = [(i, f"zorg {'q' * 40} ann@mail.example.com {far} Zorg, end") for i in range(4)] + [(i, f"plain {i} {far}") for i in range(4, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    found = pii.find(docs)
+    whole = {r.doc_id: (r.base, r.terms) for r in found.collect()}
+    assert len(whole[0][1]) == 3 and not whole[9][1]
+    # No row that holds a text is joined or grouped: what is left to run is one pass from the input.
+    assert "Join" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+    # More names than a plan holds: all words are counted, and each part of the terms takes a pass.
+    monkeypatch.setattr(pii, "NAMES", 1)
+    assert {r.doc_id: (r.base, r.terms) for r in pii.find(docs).collect()} == whole
+
+
 # 2
 def test_toxicity(spark, docs, empty):
     rng = random.Random(3)
