@@ -371,6 +371,40 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200}
 
 
+def test_connect(spark, monkeypatch):
+    """Of few links in one task, of more by stars: as union-find has it."""
+    rng = random.Random(6)
+    names = [rng.randrange(-(10**15), 10**15) for _ in range(400)]
+    links = [(rng.choice(names), rng.choice(names)) for _ in range(230)] + [(names[i], names[i + 1]) for i in range(90)] + [(5, 5)]
+    root = {n: n for link in links for n in link}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    table = spark.createDataFrame(links, "x long, y long").repartition(7)
+    for most in (len(links), len(links) - 1):
+        monkeypatch.setattr(components, "SMALL", most)
+        got = components.connect(table).collect()
+        assert len(got) == len(root) and {r.node: r.root for r in got} == {n: find(n) for n in root}
+    assert components.connect(table.limit(0)).count() == 0
+
+
+def test_jaccard_rounds_of_few_links(spark):
+    """A chain, of which only neighbours link, takes several rounds; over so few links these are few jobs."""
+    words = [f"c{i}" for i in range(300)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 240, 3)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("rounds of few links", "")
+    assert {r.component for r in jaccard.clusters(table).collect()} == {0}
+    spark.sparkContext.setJobGroup("other", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("rounds of few links")) < 150
+
+
 # 7
 def test_pieces(docs, empty):
     import sentencepiece

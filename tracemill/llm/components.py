@@ -1,11 +1,13 @@
-"""Connected components of links between long ids, by alternating stars (large star, small star)."""
+"""Connected components of links between long ids, by alternating stars (large star, small star); of few links, in one task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import materialise, release
+from tracemill.llm.shared import SMALL, lean, materialise, release
 
 
 def components(links: DataFrame, left: str = "x", right: str = "y") -> DataFrame:
@@ -36,3 +38,25 @@ def components(links: DataFrame, left: str = "x", right: str = "y") -> DataFrame
     nodes = every.select(u.alias("node")).union(every.select(v.alias("node"))).distinct()
     roots = edges.groupBy(u.alias("child")).agg(F.min("v").alias("root"))
     return nodes.join(roots, F.col("node") == F.col("child"), "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _joined(batches):
+    """(node, root) of all links that a task reads: larger roots hang on smaller ones, and paths are cut short."""
+    links = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    each, place = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *links], 1), return_inverse=True)
+    x, y = place.reshape(2, -1)
+    root = np.arange(len(each))
+    while (root[x] != root[y]).any():
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(each[root])], names=["node", "root"])
+
+
+def connect(links: DataFrame) -> DataFrame:
+    """components() of a written table (x, y) of longs that are not null. Up to SMALL links, a few MB, are joined by one task:
+    a round of stars shuffles seven times, however few they are."""
+    if links.count() > SMALL:
+        return components(links)
+    return links.select("x", "y").coalesce(1).mapInArrow(lean(_joined), "node long, root long")

@@ -18,8 +18,9 @@ link when their Jaccard similarity is at least num / den. Equal sets are one nod
    component against all others of different components. A pair is refuted by its sizes, or by sketches: the parity
    of elements in each of SKETCH buckets differs in no more places than the sets differ in elements. Of what is
    left, each node names its nearest ones, those pairs are compared exactly, components are joined, and the lists
-   that are still open are scanned again for four times as many, until no pair is left. So neither a group of
-   near copies nor one of near misses is ever written out as pairs of one another but for those that must be compared.
+   that are still open are scanned again for four times as many, until no node has more to name: joined components
+   leave no pair that was not there before. So neither a group of near copies nor one of near misses is ever written
+   out as pairs of one another but for those that must be compared.
 
 Comparisons are exact on whole sets, and every linking pair that could join two components is compared.
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.components import components
+from tracemill.llm.components import connect
 from tracemill.llm.shared import lean, lean_group, materialise, release, small
 from tracemill.llm.tokens import U, Words, column, mix, pieces, rolled, spans_hash
 
@@ -309,10 +310,10 @@ def _linked(num: int, den: int):
 
 
 def verify(pairs: DataFrame, contents: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y) of the pairs that link, by their whole sets."""
+    """(x, y) of the pairs, a written table, that link, by their whole sets."""
     left = contents.select(F.col("node").alias("x"), F.col("content").alias("cx"))
     right = contents.select(F.col("node").alias("y"), F.col("content").alias("cy"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "cx", "cy")
+    both = small(pairs).join(left, "x").join(right, "y").select("x", "y", "cx", "cy")
     return both.mapInArrow(lean(_linked(num, den)), "x long, y long, linked boolean").filter("linked").select("x", "y")
 
 
@@ -360,13 +361,22 @@ def _scanned(num: int, den: int, limit: int):
     return run
 
 
-def open_pairs(lists: DataFrame, roots: DataFrame, marks: DataFrame, num: int, den: int, limit: int) -> tuple[DataFrame, DataFrame]:
-    """The lists that hold several components, and (x, y) of their nodes of different ones that may link."""
-    rooted = materialise(lists.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the lists that hold several components, with the list's length, its main component and that one's share."""
+    rooted = materialise(lists.join(small(roots), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
     by = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key")
-    several = materialise(by.agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots"), "open")
-    rows = several.agg(F.sum("total")).first()[0] or 0
-    members = rooted.join(several, "key").join(marks, "node")
+    several = by.agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.max_by("root", "n").alias("main"), F.count("*").alias("roots"))
+    several = materialise(several.filter("roots > 1").drop("roots"), "open")
+    members = materialise(rooted.join(small(several), "key"), "lists")
+    release(rooted, several)
+    return members
+
+
+def open_pairs(members: DataFrame, marks: DataFrame, num: int, den: int, limit: int) -> DataFrame:
+    """(x, y) of nodes of open lists, of different components, that may link: of each node the nearest `limit` in a list;
+    (-1, -1) when there are more."""
+    rows = members.count()
+    members = members.join(marks, "node")
     holds, asks = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int"), F.ceil((F.col("total") - F.col("most")) / F.lit(BLOCK)).cast("int")
     members = members.withColumn("holds", holds).withColumn("asks", asks).withColumn("own", F.xxhash64("node"))
     slot = lambda i, j, role: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(role).alias("role"))
@@ -378,10 +388,7 @@ def open_pairs(lists: DataFrame, roots: DataFrame, marks: DataFrame, num: int, d
     bins = 1 + rows // BIN
     tasks = members.withColumn("slot", F.explode(slots)).select("key", "node", "root", "main", "size", "sketch", F.col("slot.i").alias("i"), F.col("slot.j").alias("j"), F.col("slot.role").alias("role"))
     tasks = tasks.withColumn("bin", F.when(F.col("role") == 2, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("key")))
-    found = materialise(tasks.groupBy("bin", "i", "j").applyInArrow(lean_group(_scanned(num, den, limit)), "x long, y long").distinct(), "candidates")
-    kept = materialise(rooted.select("key", "node").join(several.select("key"), "key"), "lists")
-    release(rooted, several)
-    return kept, found
+    return tasks.groupBy("bin", "i", "j").applyInArrow(lean_group(_scanned(num, den, limit)), "x long, y long").distinct()
 
 
 def _tie(text: str) -> Column:
@@ -404,31 +411,35 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     texts = raw.join(small(survivors), F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))).select("node", "text")
     contents = materialise(texts.mapInArrow(lean(_contents(width)), "node long, size long, content binary, sketch binary").dropDuplicates(["node"]), "contents")
     lists, pivots = meetings(contents, num, den)
-    stars = lists.join(pivots, "key").filter("node <> x").groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("met"))
+    stars = lists.join(small(pivots), "key").filter("node <> x").groupBy("x", F.col("node").alias("y")).agg(F.count("*").alias("met"))
     best = materialise(stars.groupBy("y").agg(F.max_by("x", F.struct("met", -F.col("x"))).alias("x")).select("x", "y"), "stars")
     links = materialise(verify(best, contents, num, den), "links")
-    roots = materialise(components(links), "roots")
+    roots = materialise(connect(links), "roots")
     done = materialise(best.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), "done")
     release(survivors, pivots, best)
-    limit = 1
-    while True:
-        kept, found = open_pairs(lists, roots, contents.select("node", "size", "sketch"), num, den, limit)
-        fresh = materialise(found.filter("x >= 0").join(done, ["x", "y"], "left_anti"), "fresh")
-        more = not found.filter("x < 0").isEmpty()
-        release(lists, found)
-        lists, none = kept, fresh.isEmpty()
-        if none and not more:
-            release(lists, fresh, done, contents)
-            break
-        if not none:
-            new = verify(fresh, contents, num, den)
-            before = (links, roots, done)
-            links = materialise(links.union(new), "links")
-            done = materialise(done.union(fresh), "done")
-            roots = materialise(components(links), "roots")
-            release(*before)
-        release(fresh)
+    members = open_lists(lists, roots)
+    release(lists)
+    limit, more = 1, True
+    while more:
+        found = open_pairs(members, contents.select("node", "size", "sketch"), num, den, limit)
+        fresh = materialise(found.join(done, ["x", "y"], "left_anti"), "fresh")
+        more = not fresh.filter("x < 0").isEmpty()
+        pairs = fresh.filter("x >= 0")
+        before = [fresh]
+        if not pairs.isEmpty():
+            new = materialise(verify(pairs, contents, num, den), "new")
+            before += [new, done]
+            done = materialise(done.union(pairs), "done")
+            if not new.isEmpty():
+                before += [links, roots]
+                links = materialise(links.union(new), "links")
+                roots = materialise(connect(links), "roots")
+                if more:
+                    before.append(members)
+                    members = open_lists(members.select("key", "node"), roots)
+        release(*before)
         limit *= 4
+    release(members, done, contents)
     release(links)
     named = summary.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = materialise(named, "named")
