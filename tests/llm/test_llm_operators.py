@@ -10,9 +10,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 
-from tracemill.llm import ann, components, jaccard, lm, mixing, pieces, pii, substrings, toxicity, urlrules, vectors
+from tracemill.llm import ann, components, jaccard, lm, mixing, pieces, pii, shared, substrings, toxicity, urlrules, vectors
 from tracemill.llm.shared import prepare
 from tracemill.llm.tokens import Words, mix, rolled, spans_hash
 
@@ -177,6 +178,22 @@ def test_toxicity_sample_skips_long_texts(spark, monkeypatch):
     assert toxicity.learn(table, labels) == (sorted(f"text {i}" for i in range(20) if i != first), 19)
 
 
+def test_toxicity_learns_without_python_workers(spark, monkeypatch):
+    labels = spark.range(20).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    table = spark.range(20).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    monkeypatch.setattr(RDD, "_to_java_object_rdd", None)  # rows of Python objects go this way, through workers
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks: (sorted(texts), len(marks)))
+    assert toxicity.learn(table, labels) == (sorted(f"text {i}" for i in range(20)), 20)
+
+
+def test_workers_keep_tables_of_their_own_operator_only():
+    shared.kept("some")["a"] = 1
+    list(shared.lean(iter, "some")([]))
+    assert shared.kept("some") == {"a": 1}
+    list(shared.lean(iter)([]))
+    assert shared.kept("some") == {} and pieces._codecs is shared.kept("pieces")
+
+
 # 3
 def test_substrings(docs, empty):
     for window in (50, 8):

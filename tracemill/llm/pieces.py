@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.shared import lean
+from tracemill.llm.shared import kept, lean
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -163,7 +163,7 @@ class Codec:
         return raw[1:] if raw[:1] == b" " else raw
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[int, Codec] = kept("pieces")
 
 
 def _codec(pieces) -> Codec:
@@ -199,7 +199,7 @@ def _apply(docs: DataFrame, columns, text: str, model: str, digest: bool) -> Dat
     kept = docs.select(*columns)
     new = "n_tokens long, ids_sha256 string, round_trip boolean" if digest else "ids array<int>"
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema], new])
-    return docs.select(*columns, F.col(text).alias("coded_text")).mapInArrow(lean(_run(vocabulary(model), digest)), schema)
+    return docs.select(*columns, F.col(text).alias("coded_text")).mapInArrow(lean(_run(vocabulary(model), digest), "pieces"), schema)
 
 
 def encode(docs: DataFrame, *columns: str, text: str = "text", model: str = MODEL) -> DataFrame:

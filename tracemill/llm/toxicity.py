@@ -177,7 +177,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if size + row["size"] <= SAMPLE_BYTES:
             size += row["size"]
             fits.append((row["l_order"], row["d_tie"]))
-    fits = docs.sparkSession.createDataFrame(fits, "l_order long, d_tie long")
+    if not fits:
+        return train([], [])
+    # From Arrow, as a list of rows would start Python workers, under a daemon of their own, on each executor.
+    fits = docs.sparkSession.createDataFrame(pa.table({name: pa.array([f[i] for f in fits], pa.int64()) for i, name in enumerate(("l_order", "d_tie"))}))
     got = sorted(rows.join(F.broadcast(fits), ["l_order", "d_tie"]).select("l_order", "d_key", "d_text", "l_label").collect())
     texts, marks = [r.d_text for r in got], [r.l_label for r in got]
     del got
