@@ -559,6 +559,35 @@ def test_ann_on_awkward_rows(spark, monkeypatch):
     assert set(got) == set(range(0, 400, 20))
 
 
+def test_ann_in_rounds_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 64)
+    monkeypatch.setattr(ann, "BEGIN_BYTES", 8 * 12 * 50)
+    monkeypatch.setattr(ann, "tune", lambda *_: ann.RATIOS[-1])  # all lists
+    assert ann.rounds(50, 31) == [(0, 3), (3, 15), (15, 63)]
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 12)).astype(np.float32)
+    x[700:730] = x[40]
+    ids = [*range(2000), *[60] * 30, *[61] * 30]  # rows that repeat id and vector are one candidate
+    table = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "vec_id long, embedding array<float>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in ann.search(table, table.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    y = x.astype(float)
+    assert set(got) == set(range(0, 2000, 20))
+    for q, found in got.items():
+        s = (y * y[q]).sum(1)
+        s[q] = -np.inf
+        assert found == np.lexsort((np.arange(2000), -s))[:20].tolist()
+
+
+def test_ann_tasks_return_no_rows_below_the_floor():
+    x = np.arange(1.0, 101)[:, None]
+    rows = pa.table({"id": np.arange(100), "vector": pa.array(x.tolist())})
+    queries = pa.table({"id": [900, 901], "tie": [0, 0], "vector": [[1.0], [1.0]], "floor": [98.0, -np.inf]})
+    got = ann._searched(20)(queries, rows).to_pydict()
+    assert list(zip(got["query_id"], got["vec_id"])) == [(900, 99), (900, 98), (900, 97), *((901, i) for i in range(99, 79, -1))]
+
+
 def test_vectors_of_doubles_and_null_ids(spark):
     x = np.eye(4)[[0, 0, 1, 1, 2, 3]]
     ids = [None, 5, None, None, 7, 7]

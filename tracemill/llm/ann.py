@@ -8,8 +8,11 @@ whose centroid is at most (1 + REPLICATE) times as far and not nearer to a list
 memory, whose edges go both ways and whose components are joined and entered one by one; distance-ratio pruning keeps
 those at most (1 + ratio) times as far as the first. The ratio is the smallest
 that reaches TARGET recall on the sample; where none does, the centroids are scanned and all lists searched. Lists
-longer than LIMIT are cut into blocks of rows, and their queries into blocks of QUERIES; a task returns its best k a
-query, and a window merges those of a query. A matrix product finds what may be among the best; scores, order and
+longer than LIMIT are cut into blocks of rows, and their queries into blocks of QUERIES_A_TASK. A query begins with its best k
+of a part of the sample, and searches its lists nearest first, in rounds: each round takes GROWTH times as many rows as were
+seen before it. A task returns a row only if it reaches the k-th best score that its query has from earlier rounds, which no
+row of the result falls short of, so a round returns about k * (GROWTH - 1) rows a query instead of k a list; a window
+merges those of a query. A matrix product finds what may be among the best; scores, order and
 ties go by the inner products of the original vectors in double precision, one row at a time, so that equal vectors
 have equal scores everywhere.
 
@@ -39,6 +42,8 @@ LIST, CENTROIDS, LIMIT = 512, 20_000, 4096
 QUERIES_A_TASK = 4096
 REPLICATE, COPIES = 0.06, 3
 TARGET, BEAM, DEGREE = 0.97, 32, 24
+#: Rows seen grow so many times a round; bytes (in double precision) of the rows of the sample that queries begin with.
+GROWTH, BEGIN_BYTES = 4, 16_000_000
 RATIOS = (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.3, 0.4, 0.6, 1e9)
 
 
@@ -166,47 +171,86 @@ def tune(centroids: Centroids, x: np.ndarray, most: float, k: int) -> float:
     return RATIOS[-1]
 
 
-def _post(centroids: Centroids, most: float, ratio: float, asking: bool):
+def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, best first, ties to the smaller id."""
+    return np.lexsort((ids, -scores))[:k]
+
+
+def once(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that repeat both id and vector, once."""
+    if len(np.unique(ids)) == len(ids):
+        return x, ids
+    first = np.sort(np.unique(np.column_stack([ids, (x + 0.0).view(np.int64)]), axis=0, return_index=True)[1])
+    return x[first], ids[first]
+
+
+def nearest(qs: np.ndarray, own: np.ndarray, floors: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, ids and scores of its k best among the rows x that reach its floor."""
+    out = []
+    # A product of matrices may err in the last bits: whatever it puts this near the k-th or the floor is scored anew.
+    slack = 1e-12 * np.sqrt((x * x).sum(1).max(initial=0)) * np.sqrt((qs * qs).sum(1))
+    for a in range(0, len(qs), 256):
+        scores = qs[a : a + 256] @ x.T
+        for i, s in enumerate(scores, a):
+            s[ids == own[i]] = -np.inf
+            floor = max(floors[i], np.partition(s, len(s) - k)[len(s) - k]) if len(s) > k else floors[i]
+            place = np.flatnonzero((s >= floor - slack[i]) & (s > -np.inf))
+            exact = (x[place] * qs[i]).sum(1)
+            top = best(exact, ids[place], k)
+            top = top[exact[top] >= floors[i]]
+            out.append((ids[place[top]], exact[top]))
+    return out
+
+
+def _post(centroids: Centroids, most: float):
     def run(batches):
         for batch in batches:
             x = matrix(batch.column(1))
-            if asking:
-                lists = [np.sort(centroids.walk(q, ratio)[0]).tolist() for q in np.concatenate([x, np.zeros((len(x), 1))], 1)] if len(x) else []
-            else:
-                lists = centroids.lists(lifted(x, most)) if len(x) else []
+            lists = centroids.lists(lifted(x, most)) if len(x) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
     return run
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, best first, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+def _ask(centroids: Centroids, ratio: float, x: np.ndarray, ids: np.ndarray, k: int):
+    """Lists of each query, nearest first, its k best of the rows x, and the k-th best score."""
+
+    def run(batches):
+        for batch in batches:
+            qs = matrix(batch.column(1))
+            found = nearest(qs, batch.column(0).to_numpy(), np.full(len(qs), -np.inf), x, ids, k) if len(qs) else []
+            lists = [centroids.walk(q, ratio)[0].tolist() for q in np.concatenate([qs, np.zeros((len(qs), 1))], 1)] if len(qs) else []
+            floors = [score[-1] if len(score) == k else -np.inf for _, score in found]
+            begin = [[{"vec_id": i, "score": v} for i, v in zip(near.tolist(), score.tolist())] for near, score in found]
+            new = [pa.array(lists, pa.list_(pa.int32())), pa.array(floors, pa.float64()), pa.array(begin, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lists", "floor", "found"])
+
+    return run
 
 
 def _searched(k: int):
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out = []
+        found, own, tie = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
         if queries.num_rows and rows.num_rows:
-            x, ids = matrix(rows["vector"]), rows["id"].to_numpy()
-            qs, own, tie = matrix(queries["vector"]), queries["id"].to_numpy(), queries["tie"].to_numpy()
-            # A product of matrices may err in the last bits: whatever it puts this near the k-th is scored anew.
-            slack = 1e-12 * np.sqrt((x * x).sum(1).max()) * np.sqrt((qs * qs).sum(1))
-            for a in range(0, len(qs), 256):
-                scores = qs[a : a + 256] @ x.T
-                for i, s in enumerate(scores, a):
-                    s[ids == own[i]] = -np.inf
-                    floor = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else -np.inf
-                    place = np.flatnonzero((s >= floor - slack[i]) & (s > -np.inf))
-                    exact = (x[place] * qs[i]).sum(1)
-                    top = best(exact, ids[place], k)
-                    out.append((np.full(len(top), own[i]), np.full(len(top), tie[i]), ids[place[top]], exact[top]))
-        join = lambda c, kind: pa.array(np.concatenate([np.zeros(0, kind), *(r[c] for r in out)]))
-        return pa.table({"query_id": join(0, np.int64), "tie": join(1, np.int64), "vec_id": join(2, np.int64), "score": join(3, float)})
+            own, tie = queries["id"].to_numpy(), queries["tie"].to_numpy()
+            found = nearest(matrix(queries["vector"]), own, queries["floor"].to_numpy(), *once(matrix(rows["vector"]), rows["id"].to_numpy()), k)
+        sizes = np.array([len(ids) for ids, _ in found], int)
+        ids, scores = (np.concatenate([np.zeros(0, kind), *(f[c] for f in found)]) for c, kind in enumerate((np.int64, float)))
+        return pa.table({"query_id": np.repeat(own, sizes), "tie": np.repeat(tie, sizes), "vec_id": ids, "score": scores})
 
     return run
 
 
+def rounds(seen: int, lists: int) -> list[tuple[int, int]]:
+    """Ranges of a query's lists, by place, that rounds search after `seen` rows."""
+    out, low, total = [], 0, max(seen, LIST)
+    while low < lists:
+        total *= GROWTH
+        out.append((low, max(low + 1, (total - max(seen, LIST)) // LIST)))
+        low = out[-1][1]
+    return out
+
+
 def search(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query."""
     take = lambda df: df.filter(usable(F.col(vector)) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
@@ -221,28 +265,41 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id",
     bound = int(min(1.0, SAMPLE / total) * (1 << 30))
     drawn = valid.filter(F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < bound + 1).select("id", "vector").limit(2 * SAMPLE).collect()
     drawn = sorted(drawn, key=lambda r: (r["id"], r["vector"]))
-    sample = lifted(np.array([r["vector"] for r in drawn] or [valid.first()["vector"]], np.float64), most)
+    drawn = drawn or [valid.first()]
+    raw, raw_ids = np.array([r["vector"] for r in drawn], np.float64), np.array([r["id"] for r in drawn], np.int64)
+    chosen = np.random.default_rng(5).permutation(len(raw))[: max(1, BEGIN_BYTES // (8 * raw.shape[1]))]
+    begin = once(raw[chosen], raw_ids[chosen])
+    sample = lifted(raw, most)
     sample = np.unique(sample, axis=0)
     sample = sample[np.random.default_rng(3).permutation(len(sample))]
     centroids = Centroids(fit(sample, max(1, min(CENTROIDS, total // LIST))))
     ratio = tune(centroids, sample, most, k)
     kind = dict(valid.dtypes)["vector"]
     schema = f"id long, vector {kind}, lists array<int>"
-    posted = materialise(valid.mapInArrow(_post(centroids, most, ratio, False), schema), "postings").withColumn("list", F.explode("lists")).drop("lists")
-    probes = materialise(asked.repartition(F.col("id")).mapInArrow(_post(centroids, most, ratio, True), schema).withColumn("tie", F.xxhash64("vector")), "probes")
-    probing = probes.withColumn("list", F.explode("lists")).drop("lists")
+    posted = materialise(valid.mapInArrow(_post(centroids, most), schema), "postings").withColumn("list", F.explode("lists")).drop("lists")
+    asked = asked.repartition(F.col("id")).mapInArrow(_ask(centroids, ratio, *begin, k), f"{schema}, floor double, found array<struct<vec_id: long, score: double>>")
+    asked = materialise(asked.withColumn("tie", F.xxhash64("vector")), "probes")
+    near = asked.select(F.col("id").alias("query_id"), "tie", F.inline("found"))
+    probes, task = asked.drop("found"), ["list", "block", "turn"]
+    order = Window.partitionBy("query_id", "tie").orderBy(F.desc("score"), "vec_id")
     parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias(name))
-    # One row a list: as many as there are centroids.
-    cuts = materialise(parts(posted, LIMIT, "blocks").join(parts(probing, QUERIES_A_TASK, "turns"), "list"), "blocks")
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
-    held = posted.join(cuts, "list").select("id", "vector", "list", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int").alias("block"), each("turns", "turn"))
-    asking = probing.join(cuts, "list").select("id", "tie", "vector", "list", each("blocks", "block"), F.pmod(F.xxhash64("id", "tie"), F.col("turns")).cast("int").alias("turn"))
-    task = ["list", "block", "turn"]
-    found = asking.groupBy(*task).cogroup(held.groupBy(*task)).applyInArrow(_searched(k), "query_id long, tie long, vec_id long, score double")
-    # A row that several lists hold is one candidate; both steps go by the query, so they share one shuffle.
-    distinct = found.repartition("query_id", "tie").dropDuplicates(["query_id", "tie", "vec_id", "score"])
-    order = Window.partitionBy("query_id", "tie").orderBy(F.desc("score"), "vec_id")
-    return distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spans = rounds(len(begin[1]), len(centroids.centre))
+    for low, high in spans:
+        if low:
+            near = materialise(near, "nearest").drop("rank")
+            floors = near.groupBy(F.col("query_id").alias("id"), "tie").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+            probes = asked.join(floors, ["id", "tie"], "left").withColumn("floor", F.coalesce("least", "floor")).drop("least", "found")
+        probing = probes.withColumn("list", F.explode(F.slice("lists", low + 1, high - low))).drop("lists")
+        # One row a list: as many as there are centroids.
+        cuts = materialise(parts(posted, LIMIT, "blocks").join(parts(probing, QUERIES_A_TASK, "turns"), "list"), "blocks")
+        held = posted.join(cuts, "list").select("id", "vector", "list", F.pmod(F.xxhash64("id", "vector"), F.col("blocks")).cast("int").alias("block"), each("turns", "turn"))
+        asking = probing.join(cuts, "list").select("id", "tie", "vector", "floor", "list", each("blocks", "block"), F.pmod(F.xxhash64("id", "tie"), F.col("turns")).cast("int").alias("turn"))
+        found = asking.groupBy(*task).cogroup(held.groupBy(*task)).applyInArrow(_searched(k), "query_id long, tie long, vec_id long, score double")
+        # A row that several lists hold is one candidate; both steps go by the query, so they share one shuffle.
+        distinct = near.unionByName(found).repartition("query_id", "tie").dropDuplicates(["query_id", "tie", "vec_id", "score"])
+        near = distinct.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return near.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
